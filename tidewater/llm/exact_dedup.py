@@ -19,7 +19,12 @@ from pyspark.sql import functions as F
 
 from .common import ascii_lower, forget, new_path
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; a state partition reserves no disk ahead and uploads what has changed.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 #: Files of stored rows that one micro-batch takes.
 FILES_PER_BATCH = 100_000
 
@@ -35,8 +40,9 @@ def _state(rows: DataFrame, key: list[str]) -> DataFrame:
 
 def _streamed_state(spark, source: str, schema, target: str) -> DataFrame:
     """The state of each digest after all stored rows went through the stream."""
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    before = {key: spark.conf.get(key, None) for key in STATE_CONF}
+    for key, value in STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
         rows = rows.select("doc_id", "digest", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("place"))
@@ -50,10 +56,8 @@ def _streamed_state(spark, source: str, schema, target: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     first = "struct<id:bigint,place:struct<file:string,at:bigint>>"
     probe = spark._jvm.org.apache.hadoop.fs.Path(target)
     if not probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):  # no rows, no batch
