@@ -177,7 +177,7 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, shard_ids:
     rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(shards, SHARD).write.parquet(out)
 
 
-def read_tokens(spark: SparkSession, out: str) -> DataFrame:
+def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, ids (32-bit little-endian) of every document in the files."""
     shards = spark.read.schema(SHARD).parquet(out)
     sums = shards.select("part", "seq", "n_ids")
@@ -201,7 +201,7 @@ def read_tokens(spark: SparkSession, out: str) -> DataFrame:
                     ids = [flat[4 * (a - first) : 4 * (a - first + k)] for a, k in zip(starts[lo:hi].tolist(), sizes[lo:hi].tolist(), strict=True)]
                     m = hi - lo
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([s["part"]] * m, pa.int32()), pa.array([s["seq"]] * m, pa.int32()), pa.array(keys[lo:hi], pa.int64()), pa.array(starts[lo:hi]), pa.array(sizes[lo:hi]), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())],
+                        [pa.array([s["part"]] * m, pa.int32()), pa.array([s["seq"]] * m, pa.int32()), pa.array(keys[lo:hi], pa.int64()), pa.array(starts[lo:hi]), pa.array(sizes[lo:hi]), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids if with_ids else [None] * m, pa.binary())],
                         names=["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32", "ids"],
                     )
 
@@ -220,4 +220,4 @@ def token_file_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
     spark = docs.sparkSession
     out = new_path(spark, "token-files")
     write_tokens(docs.select("doc_id", "text"), out, path)
-    return read_tokens(spark, out).drop("ids")
+    return read_tokens(spark, out, with_ids=False).drop("ids")
