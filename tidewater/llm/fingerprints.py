@@ -105,7 +105,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     spark = docs.sparkSession
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     buckets = max(2, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = fingerprinted(base, "text", "own_", k, window)
+    own = fingerprinted(base, "text", "own_", k, window).withColumn("fingerprint", digest(F.col("own_hashes"), F.col("own_positions"))).drop("own_positions")
     paired = with_next(own, "doc_id", F.xxhash64("text"), ["text", "own_hashes"], buckets)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
@@ -115,7 +115,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest(F.col("own_hashes"), F.col("own_positions")).alias("fingerprint"),
+        "fingerprint",
         digest(F.col("edited_hashes"), F.col("edited_positions")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"),
         likeness(F.col("own_hashes"), F.col("next_row.own_hashes")).alias("near_next"),
