@@ -67,7 +67,7 @@ def digest(hashes: Column, positions: Column) -> Column:
 
 
 def with_next(df: DataFrame, order: str, tie: Column, carried: list[str], buckets: int) -> DataFrame:
-    """df with a struct ``next_row`` of the carried columns of the row that follows in descending order.
+    """df with, as next_<column>, the carried columns of the row that follows in descending order.
 
     After the last row comes the first. Rows go to range buckets whose bounds are identifiers that
     occur, so a bucket's first row is known beforehand and is also sent to the bucket before it: one
@@ -92,7 +92,7 @@ def with_next(df: DataFrame, order: str, tie: Column, carried: list[str], bucket
     # a copy stands behind all rows of the bucket it is sent to; the one of the very first row behind the last
     sent = sent.withColumn("to_bucket", F.when(F.col("copy") == 0, F.col("own_bucket")).when(goes_on == -1, F.lit(0)).otherwise(goes_on))
     row = Window.partitionBy("to_bucket").orderBy(F.col("copy").asc(), F.col(order).desc_nulls_last(), F.col("tie_hash").asc())
-    return sent.withColumn("next_row", F.lead(F.struct(*carried)).over(row)).filter("copy = 0").drop("own_bucket", "tie_hash", "copy", "to_bucket")
+    return sent.withColumns({f"next_{c}": F.lead(c).over(row) for c in carried}).filter("copy = 0").drop("own_bucket", "tie_hash", "copy", "to_bucket")
 
 
 def winnowing(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
@@ -109,7 +109,7 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
     paired = with_next(own, "doc_id", F.xxhash64("text"), ["text", "own_hashes"], buckets)
     n = F.length("text")
     third = F.floor(n / 3).cast("int")
-    edited = paired.withColumn("edited", F.concat(F.left("text", n - third), F.left(F.col("next_row.text"), third)))
+    edited = paired.withColumn("edited", F.concat(F.left("text", n - third), F.left(F.col("next_text"), third)))
     edited = fingerprinted(edited, "edited", "edited_", k, window)
     return edited.select(
         "doc_id",
@@ -118,6 +118,6 @@ def fingerprint_edits(docs: DataFrame, k: int = K, window: int = WINDOW) -> Data
         "fingerprint",
         digest(F.col("edited_hashes"), F.col("edited_positions")).alias("edited_fingerprint"),
         likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"),
-        likeness(F.col("own_hashes"), F.col("next_row.own_hashes")).alias("near_next"),
+        likeness(F.col("own_hashes"), F.col("next_own_hashes")).alias("near_next"),
         F.size("own_hashes").cast("long").alias("n_hashes"),
     )
