@@ -68,7 +68,13 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         new = list(set().union(*[c for c in cut if c]))
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
-        seen.update(zip(some, [np.array(e.ids, "<u4").tobytes() for e in tok.encode_batch_fast(some, add_special_tokens=False)], strict=True))
+        told = tok.encode("\n".join(some), add_special_tokens=False)  # each word is one pre-token of this text
+        ids, of = np.array(told.ids, "<u4"), np.array(told.word_ids, np.int64)
+        cuts = np.flatnonzero(np.diff(of)) + 1
+        if len(cuts) + 1 == len(some):
+            seen.update(zip(some, [x.tobytes() for x in np.split(ids, cuts)], strict=True))
+        else:
+            seen.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
     get = seen.__getitem__
     return [b"".join(map(get, c)) if c is not None else np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, c in zip(texts, cut, strict=True)]
 
