@@ -24,6 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,10 +83,33 @@ def window_keys(hashes: np.ndarray, length: int) -> np.ndarray:
         return _mix(key)
 
 
+def _pressed(numbers: np.ndarray) -> bytes:
+    """32-bit numbers as differences, bytes of equal weight together, pressed."""
+    steps = np.diff(numbers.astype(np.uint32), prepend=np.uint32(0))
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _restored(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32).astype(np.int64)
+
+
+def _by_first_start(keys: np.ndarray, starts: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, bytes, bytes]:
+    """Of keys in order (first: the first of equal ones): distinct keys by their first start, all starts, and how many each has."""
+    at = np.flatnonzero(first)
+    size = np.diff(np.concatenate([at, [len(keys)]]))
+    order = np.argsort(starts[at], kind="stable")
+    at, size = at[order], size[order]
+    if len(at) < len(keys):
+        flat = np.repeat(at - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(len(keys))
+        return keys[at], _pressed(starts[flat]), size.astype(np.int32).tobytes()
+    return keys[at], _pressed(starts[at]), b""
+
+
 def _packs(block: int, keys: np.ndarray, starts: np.ndarray, n_buckets: int, width: int, docs: bytes) -> pa.RecordBatch:
     """One row a bucket: distinct keys of the block with a start each, then what starts share a key."""
     bucket = (keys >> np.uint64(40)) % np.uint64(n_buckets) if width <= 5 else (keys[:] >> np.uint64(20)) % np.uint64(n_buckets)
-    order = np.lexsort((keys, bucket))
+    order = np.lexsort((starts, keys, bucket))
     keys, starts, bucket = keys[order], starts[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
     rows = []
@@ -93,11 +117,12 @@ def _packs(block: int, keys: np.ndarray, starts: np.ndarray, n_buckets: int, wid
         lo, hi = cuts[b], cuts[b + 1]
         if lo == hi and not (b == 0 and docs):
             continue
-        k, s = keys[lo:hi], starts[lo:hi]
-        first = np.concatenate([[True], k[1:] != k[:-1]]) if hi > lo else np.empty(0, bool)
-        size = np.diff(np.concatenate([np.flatnonzero(first), [hi - lo]])) if hi > lo else np.empty(0, np.int64)
-        packed = np.ascontiguousarray(k[first].view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-        rows.append((block, b, width, packed, s.astype(np.int32).tobytes(), size.astype(np.int32).tobytes() if (size > 1).any() else b"", docs if b == 0 else b""))
+        k = keys[lo:hi]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        kinds, at, many = _by_first_start(k, starts[lo:hi], first)
+        packed = np.ascontiguousarray(kinds.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+        rows.append((block, b, width, packed, at, many, docs if b == 0 else b""))
     names = [c.split()[0] for c in PACK.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
@@ -163,8 +188,8 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
         at += len(k)
         if not use.any() and not b.docs:
             continue
-        starts = np.frombuffer(b.starts, np.int32)
-        out.append((b.block, b.bucket, width, np.ascontiguousarray(k[use]).tobytes(), starts[np.repeat(use, size)].tobytes(), size[use].tobytes() if (size[use] > 1).any() else b"", b.docs))
+        starts = _restored(b.starts)
+        out.append((b.block, b.bucket, width, np.ascontiguousarray(k[use]).tobytes(), _pressed(starts[np.repeat(use, size)]), size[use].tobytes() if (size[use] > 1).any() else b"", b.docs))
     return pd.DataFrame(out, columns=[c.split()[0] for c in PACK.split(", ")])
 
 
@@ -178,8 +203,8 @@ def _block(group: pd.DataFrame):
         k = np.frombuffer(b.keys, np.uint8).reshape(-1, width)
         size = np.frombuffer(b.many, np.int32) if b.many else np.ones(len(k), np.int32)
         keys.append(np.repeat(k, size, axis=0))
-        starts.append(np.frombuffer(b.starts, np.int32))
-    k, s = np.concatenate(keys), np.concatenate(starts).astype(np.int64)
+        starts.append(_restored(b.starts))
+    k, s = np.concatenate(keys), np.concatenate(starts)
     order = np.argsort(s)
     return docs, k[order], s[order]
 
@@ -213,7 +238,7 @@ def _extended(length: int, longer: int, n_buckets: int):
         lanes = whole.view("<u8").reshape(-1, 2)
         with np.errstate(over="ignore"):
             bucket = _mix(lanes[:, 0] + _mix(lanes[:, 1] + np.uint64(1))) % np.uint64(n_buckets)
-        order = np.lexsort((lanes[:, 0], lanes[:, 1], bucket))
+        order = np.lexsort((s, lanes[:, 0], lanes[:, 1], bucket))
         pair, s, bucket, lanes = pair[order], s[order], bucket[order], lanes[order]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
         block, rows = int(group["block"].iloc[0]), []
@@ -221,9 +246,11 @@ def _extended(length: int, longer: int, n_buckets: int):
             lo, hi = cuts[b], cuts[b + 1]
             if lo == hi and b:
                 continue
-            first = np.concatenate([[True], (lanes[lo + 1 : hi] != lanes[lo : hi - 1]).any(1)]) if hi > lo else np.empty(0, bool)
-            size = np.diff(np.concatenate([np.flatnonzero(first), [hi - lo]])).astype(np.int32) if hi > lo else np.empty(0, np.int32)
-            rows.append((block, b, pair.shape[1], np.ascontiguousarray(pair[lo:hi][first]).tobytes(), s[lo:hi].astype(np.int32).tobytes(), size.tobytes() if (size > 1).any() else b"", docs.tobytes() if b == 0 else b""))
+            first = np.ones(hi - lo, bool)
+            first[1:] = (lanes[lo + 1 : hi] != lanes[lo : hi - 1]).any(1)
+            kinds, at_, many = _by_first_start(pair[lo:hi], s[lo:hi], first)
+            rows.append((block, b, pair.shape[1], np.ascontiguousarray(kinds).tobytes(), at_, many, docs.tobytes() if b == 0 else b""))
+
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACK.split(", ")])
 
     return made
