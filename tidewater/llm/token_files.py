@@ -72,7 +72,8 @@ def encode_texts(texts: list[str], path: str) -> list[bytes]:
         ids, of = np.array(told.ids, "<u4"), np.array(told.word_ids, np.int64)
         cuts = np.flatnonzero(np.diff(of)) + 1
         if len(cuts) + 1 == len(some):
-            seen.update(zip(some, [x.tobytes() for x in np.split(ids, cuts)], strict=True))
+            raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
+            seen.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
         else:
             seen.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
     get = seen.__getitem__
