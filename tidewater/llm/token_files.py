@@ -88,22 +88,22 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most
             break
         one, two = seq[:-1], seq[1:]
         slot = ((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        may = (np.bincount(slot, minlength=1 << 20) >= least)[slot]
-        may &= (one != END) & (two != END)
-        at = np.flatnonzero(may)
-        if not len(at):
-            break
-        pair = one[at].astype(np.uint64) << np.uint64(32) | two[at]
-        kinds, counts = np.unique(pair, return_counts=True)
+        pair = one.astype(np.uint64) << np.uint64(32) | two
+        holder = np.zeros(1 << 20, np.uint64)
+        holder[slot] = pair  # of pairs that share a slot one is counted, the others wait for a later round
+        may = (holder[slot] == pair) & (one != END) & (two != END)
+        counts = np.bincount(slot[may], minlength=1 << 20)
         good = np.flatnonzero(counts >= least)
         if not len(good):
             break
         if len(good) > most:
             good = np.sort(good[np.argsort(-counts[good], kind="stable")[:most]])
-        chosen = kinds[good]
-        rule = np.searchsorted(chosen, pair)
-        hit = chosen[np.minimum(rule, len(chosen) - 1)] == pair
-        at, rule = at[hit], rule[hit]
+        chosen = holder[good]
+        rule_of = np.full(1 << 20, -1, np.int32)
+        rule_of[good] = np.arange(len(good), dtype=np.int32)
+        rule = rule_of[slot]
+        at = np.flatnonzero(may & (rule >= 0))
+        rule = rule[at]
         # of pairs that overlap in a row, every second one from the first on
         new = np.concatenate([[True], at[1:] != at[:-1] + 1])
         use = ((np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) & 1) == 0
