@@ -1,8 +1,14 @@
 """All queries of the library by name, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from .plans import market
+
+QUERIES = dict(market.QUERIES)
+ORACLE_SQL = dict(market.ORACLE_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.momentum_ic(spark, sf_dir)
