@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import release, stored
 
 RANKS = "byte_bpe_50k.tiktoken"
 #: Words of the broadcast dictionary at most, and the least count of such a word.
@@ -40,7 +40,7 @@ HOLE = 0xFFFFFFFF
 _EXACT = regex.compile(public_tokenizers.PATTERN)
 #: The same pattern with its classes written out for texts of code points up to U+00FF.
 _L, _N, _S = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
-_NARROW = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_NARROW = re.compile(rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
 _WIDE = re.compile(r"[^\x00-\xff]")
 
 
@@ -83,8 +83,8 @@ def dictionary(texts: DataFrame, path: str) -> DataFrame:
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = encoder(path).encode_ordinary_batch(batch.column("word").to_pylist(), num_threads=1)
-            packed = pa.array([np.array(x, "<u4").tobytes() for x in ids], pa.binary())
+            encode = encoder(path).encode_ordinary
+            packed = pa.array([np.array(encode(w), "<u4").tobytes() for w in batch.column("word").to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), packed], names=["word", "n", "ids"])
 
     words = texts.mapInArrow(_counted, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
@@ -103,7 +103,7 @@ def hot_words(words: DataFrame, limit: int, least: int) -> tuple[dict[str, int],
                 break
             floor = row["n"]
         found = words.filter(F.col("n") >= floor) if floor is not None else words.limit(0)
-    table = found.select("word", "ids").toArrow()
+    table = found.orderBy(F.col("n").desc(), "word").select("word", "ids").toArrow()  # small numbers for frequent words
     return {w: i for i, w in enumerate(table.column("word").to_pylist())}, table.column("ids").to_pylist()
 
 
@@ -116,26 +116,27 @@ def encoded_rows(docs: DataFrame, carried: list[str], path: str, hot_limit: int
     row = F.struct(*[F.col(c) for c in carried])
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     words = dictionary(keyed.select("text"), path)
+    release(spark)
     numbers, hot_ids = hot_words(words, hot_limit, hot_least)
     shared, shared_ids = spark.sparkContext.broadcast(numbers), spark.sparkContext.broadcast(hot_ids)
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value
         for batch in batches:
             rids, ats, found = [], [], []
             for rid, text in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for at, w in enumerate(pre_tokens(text)):
-                    if w not in shared.value:
+                    if w not in hot:
                         rids.append(rid)
                         ats.append(at)
                         found.append(w)
             yield pa.RecordBatch.from_arrays([pa.array(rids, pa.int64()), pa.array(ats, pa.int32()), pa.array(found, pa.string())], names=["rid", "at", "word"])
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=1)
+        press, get = zstandard.ZstdCompressor(level=3), shared.value.get
         for batch in batches:
             codes = []
             for text in batch.column("text").to_pylist():
-                get = shared.value.get
                 code = np.array([get(w, HOLE) for w in pre_tokens(text)], "<u4")
                 codes.append(press.compress(code.view(np.uint8).reshape(-1, 4).T.tobytes()))  # bytes of equal weight together
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("row"), pa.array(codes, pa.binary())], names=["rid", "row", "codes"])
