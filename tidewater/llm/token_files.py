@@ -46,7 +46,7 @@ SHARD = "part int, seq int, n_ids bigint, doc_ids binary, nulls binary, sizes bi
 #: Texts of these code points only are cut into words here: lower-casing and composing them leaves no choice.
 _PLAIN = re.compile(r"[\t-\r -~\xa1-\xffŒœ‐-―‘-‟…€]*")
 _L, _N = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xffŒœ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PARTS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^\t-\r {_L}{_N}]+")
+_PARTS = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\t-\r {_L}{_N}]+")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
