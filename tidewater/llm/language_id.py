@@ -27,6 +27,8 @@ from .common import crc_fold, stored, within_bound
 MAX_FIT_ROWS = 12_000
 TOP = 20_000
 MAX_GRAM = 4
+#: Words whose sums a task keeps.
+KEPT_WORDS = 200_000
 UNKNOWN = "und"
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Java's letters and marks; the same runs as LETTERS but for a few numerals, which no model needs.
@@ -46,63 +48,85 @@ def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS, top: int = TOP) -> dict:
         grams = words.select("lang", "n", F.explode(F.transform(at, lambda i, k=order: F.substring(padded, i, F.lit(k)))).alias("g"))
         tables.append(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")).select("lang", F.lit(order).alias("order"), "g", "n"))
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    model: dict = {"langs": langs, "tables": [{} for _ in range(MAX_GRAM + 1)]}
+    index: list[dict[str, int]] = []
+    parts = []
     for order, table in enumerate(tables):
-        found = []
         total = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-        for lang in langs:
-            found += [(lang, r["g"], r["n"]) for r in table.filter(F.col("lang") == lang).orderBy(F.col("n").desc(), "g").limit(top).collect()]
-        known = model["tables"][order]
-        for lang, g, n in found:
-            known.setdefault(g, np.zeros(len(langs)))[langs.index(lang)] = n
+        known: dict[str, int] = {}
+        counts = []
+        for at, lang in enumerate(langs):
+            for r in table.filter(F.col("lang") == lang).orderBy(F.col("n").desc(), "g").limit(top).collect():
+                counts.append((known.setdefault(r["g"], len(known)), at, r["n"]))
+        matrix = np.zeros((len(known), len(langs)))
+        if counts:
+            g, at, n = np.array(counts).T
+            matrix[g, at] = n
         sizes = np.array([total.get(x, 0) for x in langs], float)
-        for g, counts in known.items():
-            known[g] = np.log((counts + 0.5) / (sizes + 0.5 * (len(known) + 1)))
-    return model
+        parts.append(np.log((matrix + 0.5) / (sizes + 0.5 * (len(known) + 1))))
+        index.append(known)
+    return {"langs": langs, "index": index, "rows": [x.astype(np.float32) for x in parts]}
 
 
-def word_evidence(word: str, tables: list[dict]) -> np.ndarray | None:
-    known = tables[0].get(word)
+def word_evidence(word: str, model: dict) -> np.ndarray:
+    """What a word adds for each language."""
+    index, rows = model["index"], model["rows"]
+    known = index[0].get(word)
     if known is not None:
-        return known
+        return rows[0][known]
     padded = f"<{word}>"
     for order in range(min(MAX_GRAM, len(padded)), 0, -1):
-        found = [v for i in range(len(padded) - order + 1) if (v := tables[order].get(padded[i : i + order])) is not None]
+        found = [v for i in range(len(padded) - order + 1) if (v := index[order].get(padded[i : i + order])) is not None]
         if found:
-            return sum(found) / len(found)
-    return None
-
-
-def predict(text: str | None, model: dict, seen: dict) -> tuple[str, float]:
-    """seen: what words were found to add, kept between texts by the caller."""
+            return rows[order][found].mean(0)
+    return np.zeros(len(model["langs"]), np.float32)
+
+
+class Seen:
+    """What the words met so far add, for at most KEPT_WORDS words."""
+
+    def __init__(self, model: dict):
+        self.model, self.at = model, {}
+        self.rows = np.zeros((KEPT_WORDS, len(model["langs"])), np.float32)
+
+    def total(self, words: list[str]) -> np.ndarray:
+        found = list(map(self.at.get, words))
+        other = np.zeros(self.rows.shape[1])
+        if None in found:
+            for i, w in enumerate(words):
+                if found[i] is None and (n := self.at.get(w)) is not None:
+                    found[i] = n
+                elif found[i] is None:
+                    evidence = word_evidence(w, self.model)
+                    if len(self.at) < KEPT_WORDS:
+                        n = self.at[w] = found[i] = len(self.at)
+                        self.rows[n] = evidence
+                    else:
+                        other += evidence
+            found = [n for n in found if n is not None]
+        return self.rows[found].sum(0, dtype=np.float64) + other
+
+
+def predict(text: str | None, seen: Seen) -> tuple[str, float]:
     words = LETTERS.findall(text.lower()) if text else []
-    langs = model["langs"]
+    langs = seen.model["langs"]
     if not words or not langs:
         return UNKNOWN, 0.0
-    total = np.zeros(len(langs))
-    get, rows = seen.get, []
-    for w in words:
-        v = get(w)
-        if v is None:
-            v = word_evidence(w, model["tables"])
-            v = tuple(v) if v is not None else (0.0,) * len(langs)
-            if len(seen) < 300_000:
-                seen[w] = v
-        rows.append(v)
-    total = np.asarray(rows).sum(0)
+    total = sum(seen.total(words[at : at + 10_000]) for at in range(0, len(words), 10_000))
     best = int(total.argmax())
     return langs[best], float(1 / np.exp(np.maximum(total - total[best], -700)).sum())
 
 
 def predicted(df: DataFrame, model: dict, carried: list[str]) -> DataFrame:
-    """df's carried columns with lang_pred and score."""
+    """df's carried columns as a struct ``row``, with lang_pred and score."""
     shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(F.struct(*[F.col(c) for c in carried]).alias("row"), "text")
+    own = "text" in carried  # the text then travels once
+    rows = df.select(F.struct(*[F.col(c) for c in carried]).alias("row"), *([] if own else ["text"]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict = {}
+        seen = Seen(shared.value)
         for batch in batches:
-            out = [predict(t, shared.value, seen) for t in batch.column("text").to_pylist()]
+            texts = batch.column("row").field(carried.index("text")) if own else batch.column("text")
+            out = [predict(t.as_py(), seen) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in out], pa.string()), pa.array([y for _, y in out], pa.float64())], names=["row", "lang_pred", "score"])
 
     kind = rows.schema["row"].dataType.simpleString()
