@@ -1,41 +1,57 @@
 """A corpus from raw documents to token ids: five stages, each one an operator of tidewater.llm.
 
 run() applies them one after the other; each stage's rows are stored and read again as the next one's
-documents. All stages but the last return the columns of documents. A document that the mix takes twice
+documents. A stage is called when the rows of the one before it are written, so it first deletes the tables
+that the operator of that stage stored on the way to them. All stages but the last return the columns of documents. A document that the mix takes twice
 is there twice from then on.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
-from tidewater.llm.common import stored
+from tidewater.llm.common import forget, release, shared_dir, stored_paths
+
+
+_left: list[str] = []
+
+
+def _applied(spark: SparkSession, operator, docs: DataFrame) -> DataFrame:
+    while _left:
+        forget(spark, _left.pop())
+    release(spark)
+    with stored_paths() as paths:
+        out = operator(docs)
+    _left.extend(paths)
+    return out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
-    return language_id.with_language(docs)
+    return _applied(spark, language_id.with_language, docs)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
-    return exact_dedup.exact_dedup(docs)
+    return _applied(spark, exact_dedup.exact_dedup, docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies."""
-    return simhash.near_dedup(docs)
+    return _applied(spark, simhash.near_dedup, docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    return mixing.mix(docs)
+    return _applied(spark, mixing.mix, docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id and token ids."""
-    return byte_bpe.encode_documents(docs)
+    return _applied(spark, byte_bpe.encode_documents, docs)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mix", mix), ("tokens", tokens)]
@@ -46,6 +62,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        rows = stage(spark, docs, sf_dir)
+        path = f"{shared_dir(spark)}/tidewater-pipeline/{name}-{uuid.uuid4().hex}"
+        rows.write.parquet(path)
+        if before:
+            forget(spark, before)
+        docs, before = spark.read.schema(rows.schema).parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

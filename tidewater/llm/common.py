@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,8 +31,25 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_watchers: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def stored_paths() -> Iterator[list[str]]:
+    """The paths of tables that operators store meanwhile, for a caller that deletes them in the end."""
+    paths: list[str] = []
+    _watchers.append(paths)
+    try:
+        yield paths
+    finally:
+        _watchers.remove(paths)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
+    for paths in _watchers:
+        paths.append(path)
+    return path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

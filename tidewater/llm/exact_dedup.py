@@ -72,13 +72,16 @@ def exact_groups(docs: DataFrame, carried: list[str] = (), digest: Callable[[Col
     text = F.coalesce(F.col("text"), F.lit(""))
     source = new_path(spark, "exact-rows")
     row = F.struct(*[F.col(c) for c in carried]) if carried else F.struct(F.lit(1).alias("none"))
-    staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(ascii_lower(text)).alias("digest"), text.alias("text"), row.alias("row"))
+    own = "text" in carried  # the text is then stored once
+    staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(ascii_lower(text)).alias("digest"), row.alias("row"), *([] if own else [text.alias("text")]))
     staged.write.parquet(source)
     target = new_path(spark, "exact-state")
     state = _streamed_state(spark, source, staged.schema, target)
 
     rows = spark.read.schema(staged.schema).parquet(source)
     rows = rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    if own:
+        rows = rows.withColumn("text", F.coalesce(F.col("row.text"), F.lit("")))
     # full bytes of the rows of a hit digest: equal ones meet before the shuffle, in each task
     seen = rows.select("digest", ascii_lower(F.col("text")).alias("text")).groupBy("digest").agg(F.collect_set("text").alias("texts"))
     clash = seen.filter(F.size("texts") > 1).select("digest").withColumn("clash", F.lit(True))

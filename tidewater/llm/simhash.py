@@ -50,11 +50,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 def with_fingerprints(df: DataFrame, carried: list[str], shingle: int = SHINGLE) -> DataFrame:
     """A struct ``row`` of the carried columns, and the fingerprint as a signed 64-bit number."""
-    rows = df.select(F.struct(*[F.col(c) for c in carried]).alias("row"), "text")
+    own = "text" in carried  # the text then travels once
+    rows = df.select(F.struct(*[F.col(c) for c in carried]).alias("row"), *([] if own else ["text"]))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            texts = batch.column("row").field(carried.index("text")) if own else batch.column("text")
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(prints.view(np.int64))], names=["row", "fp"])
 
     return rows.mapInArrow(hashed, f"row {rows.schema['row'].dataType.simpleString()}, fp bigint")
@@ -148,26 +150,27 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def near_groups(docs: DataFrame, carried: list[str], max_bits: int = MAX_BITS) -> DataFrame:
-    """Every row with fp and component_id, and a struct ``row`` of the carried columns."""
-    rows = with_fingerprints(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", *[c for c in carried if c != "doc_id"]])
-    rows = stored(rows, "simhash-rows")
-    least = stored(rows.groupBy("fp").agg(F.min("row.doc_id").alias("low")), "simhash-prints")
+def near_groups(docs: DataFrame, carried: list[str], max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
+    """Every row with fp, doc_id and a struct ``row`` of the carried columns; and fp, root, component_id of every fp."""
+    rows = with_fingerprints(docs, ["doc_id", *[c for c in carried if c != "doc_id"]])
+    rows = stored(rows.withColumn("doc_id", F.col("row.doc_id").cast("long")), "simhash-rows")
+    least = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-prints")
     of = stored(components(links(least.select("fp"), max_bits)).withColumnRenamed("node", "fp"), "simhash-roots")
     rooted = least.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     per_root = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(per_root, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp")
+    return rows, stored(rooted.join(per_root, "root").select("fp", "root", "component_id"), "simhash-named")
 
 
 def near_dup_report(docs: DataFrame) -> DataFrame:
-    out = near_groups(docs.select("doc_id", "text"), ["doc_id"])
-    return out.select("row.doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rows, named = near_groups(docs.select("doc_id", "text"), ["doc_id"])
+    return rows.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """One document of each group, the one with the smallest identifier, with its own columns."""
-    out = near_groups(docs, docs.columns)
-    first = (F.col("row.doc_id") == F.col("component_id")) | F.col("component_id").isNull()
-    kept = out.filter(first).select("root", F.struct(*[F.col(f"row.{c}") for c in docs.columns]).alias("row"))
-    return kept.dropDuplicates(["root"]).select("row.*")
+    rows, named = near_groups(docs, docs.columns)
+    placed = rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+    # the place of each group's row, found without the texts, which are then shuffled once
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "place", "fp")
+    kept = placed.select("fp", "doc_id", "place").join(named, "fp").groupBy("root").agg(F.min(first).alias("kept")).select("kept.fp", "kept.place")
+    return placed.select("fp", "place", "row").join(kept, ["fp", "place"]).select(*[F.col(f"row.{c}").alias(c) for c in docs.columns])
