@@ -10,20 +10,26 @@ from pyspark.sql import functions as F
 from ..functions.columns import midrank, safe_corr
 
 YEAR = math.sqrt(252)
-BY_TICKER = Window.partitionBy("ticker").orderBy("date")
-BY_DATE = Window.partitionBy("date")
+
+
+def by_ticker():
+    return Window.partitionBy("ticker").orderBy("date")
+
+
+def by_date():
+    return Window.partitionBy("date")
 
 
 def before(k: int):
     """The k bars before the current one; the current bar is never part of a feature."""
-    return BY_TICKER.rowsBetween(-k, -1)
+    return by_ticker().rowsBetween(-k, -1)
 
 
 def price_features(bars: DataFrame) -> DataFrame:
     """Features known before each bar. All windows share one partitioning and order, so there is one shuffle."""
-    c = lambda k: F.lag("close", k).over(BY_TICKER)
-    df = bars.withColumn("ret", F.when(F.lag("close").over(BY_TICKER) > 0, F.log(F.col("close") / F.lag("close").over(BY_TICKER))))
-    ratio = lambda a, b, less=0.0: F.coalesce(F.try_divide(a, b) - less, F.lit(1.0 - less if not less else 0.0))
+    c = lambda k: F.lag("close", k).over(by_ticker())
+    df = bars.withColumn("ret", F.when(F.lag("close").over(by_ticker()) > 0, F.log(F.col("close") / F.lag("close").over(by_ticker()))))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(1.0))
     mean = lambda name, k: F.avg(name).over(before(k))
     change = lambda k: F.when(c(1 + k) > 0, (c(1) / c(1 + k) - 1) * 100)
     vol = lambda k: F.stddev_pop("ret").over(before(k)) * YEAR
@@ -31,33 +37,33 @@ def price_features(bars: DataFrame) -> DataFrame:
     features: dict[str, Column] = {f"momentum_{k}d": change(k) for k in (5, 20, 60, 120)}
     features |= {"reversal_1d": change(1), "volatility_20d": vol(20), "volatility_60d": vol(60), "vol_change_60_20": ratio(vol(20), vol(60))}
     features |= {"volume_trend_20_60": ratio(mean("volume", 20), mean("volume", 60)), "volume_trend_5_20": ratio(mean("volume", 5), mean("volume", 20))}
-    features["volume_zscore_60d"] = F.coalesce(F.try_divide(F.lag("volume").over(BY_TICKER) - mean("volume", 60), F.stddev_pop("volume").over(before(60))), F.lit(0.0))
+    features["volume_zscore_60d"] = F.coalesce(F.try_divide(F.lag("volume").over(by_ticker()) - mean("volume", 60), F.stddev_pop("volume").over(before(60))), F.lit(0.0))
     traded = F.col("volume") * F.col("close")
     features["amihud_illiquidity_20d"] = F.avg(F.when(traded > 0, F.abs("ret") / traded)).over(before(20)) * 1e8
     features |= {"price_to_high_60d": c(1) / F.greatest(peak(60), F.lit(1e-8)), "price_to_low_60d": c(1) / F.greatest(F.min("close").over(before(60)), F.lit(1e-8))}
     features |= {"sma_50_distance": c(1) / mean("close", 50) - 1, "sma_20_distance": c(1) / mean("close", 20) - 1}
     features |= {"drawdown_60d": (c(1) - peak(60)) / peak(60), "range_compression_20d": F.avg((F.col("high") - F.col("low")) / F.col("close")).over(before(20))}
     features["price_velocity_acceleration"] = change(20) / 20 - change(60) / 60
-    simple = F.col("close") / F.lag("close").over(BY_TICKER) - 1
+    simple = F.col("close") / F.lag("close").over(by_ticker()) - 1
     df = df.withColumn("simple", simple * 100)
     features["max_daily_ret_21d"] = F.greatest(F.lit(0.0), F.max("simple").over(before(21)))
     features["downside_vol_60d"] = F.sqrt(F.coalesce(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret"))).over(before(60)), F.lit(0.0))) * YEAR
     features |= {"skew_60d": F.coalesce(F.skewness("ret").over(before(60)), F.lit(0.0)), "kurt_60d": F.coalesce(F.kurtosis("ret").over(before(60)), F.lit(0.0))}
     features["log_price_level"] = F.log(F.greatest(F.lit(0.01), c(1)))
-    n_before = F.row_number().over(BY_TICKER) - 1
+    n_before = F.row_number().over(by_ticker()) - 1
     return df.withColumn("n_before", n_before).select("ticker", "date", "n_before", *[e.alias(n) for n, e in features.items()])
 
 
 def forward_labels(bars: DataFrame, horizons=(5, 20, 60, 120)) -> DataFrame:
     """k-bar forward returns in percent, and the date on which each label is known; null off the end."""
-    at = lambda name, k: F.lead(name, k).over(BY_TICKER)
+    at = lambda name, k: F.lead(name, k).over(by_ticker())
     cols = [e for k in horizons for e in (((at("close", k) / F.col("close") - 1) * 100).alias(f"fwd_{k}d"), at("date", k).alias(f"label_end_{k}d"))]
     return bars.select("ticker", "date", *cols)
 
 
 def demeaned(df: DataFrame, value: str, out: str, least: int = 5) -> DataFrame:
     """value less its date's mean where the date has enough names, else unchanged."""
-    return df.withColumn(out, F.when(F.count(value).over(BY_DATE) >= least, F.col(value) - F.avg(value).over(BY_DATE)).otherwise(F.col(value)))
+    return df.withColumn(out, F.when(F.count(value).over(by_date()) >= least, F.col(value) - F.avg(value).over(by_date())).otherwise(F.col(value)))
 
 
 def zscored(df: DataFrame, value: str, out: str, least: int = 5) -> DataFrame:
@@ -78,7 +84,7 @@ def zscored(df: DataFrame, value: str, out: str, least: int = 5) -> DataFrame:
 def information_coefficients(panel: DataFrame, score: str, label: str, least: int = 5) -> DataFrame:
     """Per-date Pearson and rank correlation of score and label."""
     rows = panel.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    average = lambda c: F.rank().over(BY_DATE.orderBy(c)) + (F.count(F.lit(1)).over(BY_DATE.orderBy(c).rangeBetween(0, 0)) - 1) / 2
+    average = lambda c: F.rank().over(by_date().orderBy(c)) + (F.count(F.lit(1)).over(by_date().orderBy(c).rangeBetween(0, 0)) - 1) / 2
     rows = rows.withColumn("rank_score", average(score)).withColumn("rank_label", average(label))
     out = rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), safe_corr(score, label).alias("ic"), safe_corr("rank_score", "rank_label").alias("rank_ic"))
     return out.filter(F.col("n") >= least)
@@ -87,12 +93,12 @@ def information_coefficients(panel: DataFrame, score: str, label: str, least: in
 def quintile_spreads(panel: DataFrame, score: str, label: str, least: int = 5) -> DataFrame:
     """Per date the mean label of the top fifth less that of the bottom fifth (floor(n / 5) names, one at least)."""
     rows = panel.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
-    n = F.count(F.lit(1)).over(BY_DATE)
-    place = F.row_number().over(BY_DATE.orderBy(score, "ticker"))
+    n = F.count(F.lit(1)).over(by_date())
+    place = F.row_number().over(by_date().orderBy(score, "ticker"))
     rows = rows.withColumn("n", n).withColumn("place", place).filter(F.col("n") >= least).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
     top, low = F.when(F.col("place") > F.col("n") - F.col("k"), F.col(label)), F.when(F.col("place") <= F.col("k"), F.col(label))
     return rows.groupBy("date").agg(F.avg(top).alias("top"), F.avg(low).alias("bottom"), (F.avg(top) - F.avg(low)).alias("spread"))
 
 
 def percentiles(panel: DataFrame, score: str, out: str = "percentile") -> DataFrame:
-    return panel.filter(F.col(score).isNotNull()).withColumn(out, midrank(score, BY_DATE))
+    return panel.filter(F.col(score).isNotNull()).withColumn(out, midrank(score, by_date()))

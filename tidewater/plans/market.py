@@ -41,7 +41,7 @@ known AS (SELECT * FROM panel WHERE momentum_20d IS NOT NULL AND fwd_20d IS NOT
 
 
 def momentum_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = panel.BY_TICKER
+    w = panel.by_ticker()
     momentum = (F.lag("close", 1).over(w) / F.lag("close", 21).over(w) - 1) * 100
     label = (F.lead("close", 20).over(w) / F.col("close") - 1) * 100
     return bars(spark, sf_dir).select("ticker", "date", momentum.alias("momentum_20d"), label.alias("fwd_20d"))
