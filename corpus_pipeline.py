@@ -2,8 +2,8 @@
 
 run() applies them one after the other; each stage's rows are stored and read again as the next one's
 documents. A stage is called when the rows of the one before it are written, so it first deletes the tables
-that the operator of that stage stored on the way to them. All stages but the last return the columns of documents. A document that the mix takes twice
-is there twice from then on.
+that the operator of that stage stored on the way to them. All stages but the last return the columns of
+documents. A document that the mix takes twice is there twice from then on.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewater.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from tidewater.llm.common import forget, release, shared_dir, stored_paths
 
-
+#: Tables of the stage before, which its successor deletes.
 _left: list[str] = []
 
 
