@@ -43,6 +43,9 @@ def upper_median(values: Column) -> Column:
 # Abramowitz and Stegun, formula 7.1.26.
 ERF_P = 0.3275911
 ERF_A = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+# Abramowitz and Stegun, formula 26.2.17.
+POLY_P = 0.2316419
+POLY_B = (0.31938153, -0.356563782, 1.781477937, -1.821255978, 1.330274429)
 # Acklam's rational approximation of the inverse normal distribution.
 INV_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
 INV_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
@@ -68,6 +71,14 @@ def normal_cdf(z) -> Column:
     return 0.5 * (1 + erf(col(z) / math.sqrt(2)))
 
 
+def scorer_cdf(z) -> Column:
+    """The distribution as the decision scores use it: 1e-7 off normal_cdf."""
+    z = col(z)
+    t = 1 / (1 + POLY_P * F.abs(z))
+    upper = normal_pdf(z) * horner(t, POLY_B[::-1]) * t
+    return F.when(z >= 0, 1 - upper).otherwise(upper)
+
+
 def normal_pdf(z) -> Column:
     return F.exp(-col(z) * col(z) / 2) / math.sqrt(2 * math.pi)
 

@@ -28,3 +28,9 @@ def newest_per_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFr
     """Upsert: the last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
     return rows.withColumn("back", F.row_number().over(w)).filter("back = 1").drop("back")
+
+
+def outcome_study(rows: DataFrame, kind: str, outcome: str, day: str) -> DataFrame:
+    """Per kind of event how often it occurs, on how many days, and what follows; rows without an outcome are left out."""
+    hits = F.avg(F.when(F.col(outcome) > 0, 1.0).otherwise(0.0))
+    return rows.filter(F.col(outcome).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(day).alias("n_days"), F.avg(outcome).alias("mean"), F.median(outcome).alias("median"), hits.alias("hit_rate"))

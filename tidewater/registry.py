@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market
+from .plans import decisions, market
 
-QUERIES = dict(market.QUERIES)
-ORACLE_SQL = dict(market.ORACLE_SQL)
+QUERIES = market.QUERIES | decisions.QUERIES
+ORACLE_SQL = market.ORACLE_SQL | decisions.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
