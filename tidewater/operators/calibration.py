@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clamp, col
+from ..functions.columns import clamp, col, expected_max_sharpe, probabilistic_sharpe
 
 
 def brier(rows: DataFrame, probability: str, outcome: str) -> DataFrame:
@@ -29,3 +34,47 @@ def ic_summary(coefficients: DataFrame, ic: str = "ic") -> DataFrame:
     ratio = F.try_divide(F.avg(ic), F.stddev_pop(ic))
     hits = F.avg(F.when(F.col(ic) > 0, 1.0).otherwise(0.0))
     return coefficients.agg(F.count(F.lit(1)).alias("n"), F.avg(ic).alias("mean_ic"), F.stddev_pop(ic).alias("std_ic"), ratio.alias("ir"), (ratio * F.sqrt(F.count(F.lit(1)))).alias("t_stat"), hits.alias("hit_rate"))
+
+
+def isotonic(rows: DataFrame, probability: str, outcome: str) -> DataFrame:
+    """rows with ``calibrated``: the best fit of outcome that never falls as probability rises.
+
+    Spark pools violators within ranges first; rows of equal probability count as one point with their mean.
+    """
+    known = rows.filter(F.col(probability).isNotNull() & F.col(outcome).isNotNull())
+    known = known.withColumns({"_p": F.col(probability).cast("double"), "_y": F.col(outcome).cast("double")})
+    points = known.groupBy("_p").agg(F.avg("_y").alias("_y"), F.count(F.lit(1)).cast("double").alias("_w"))
+    model = IsotonicRegression(featuresCol="_p", labelCol="_y", weightCol="_w", predictionCol="calibrated").fit(points)
+    return model.transform(known).drop("_p", "_y")
+
+
+def bootstrap_mean(series: DataFrame, order: str, value: str, block: int = 20, iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """Mean of a series with its 95 % interval by moving blocks: lower, mean, upper.
+
+    series has one row a date, so its values travel with the tasks; the iterations are spread over tasks and each
+    draws from its own number, so reruns agree. A series of one block at most has no interval beside its mean.
+    """
+    values = np.array([r[0] for r in series.orderBy(order).select(value).collect()], float)
+    n = len(values)
+
+    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for i in batch["id"]:
+                starts = np.random.default_rng([seed, int(i)]).integers(0, n - block + 1, -(-n // block))
+                out.append(values[(starts[:, None] + np.arange(block)).ravel()[:n]].mean())
+            yield pd.DataFrame({"m": out})
+
+    spark, point = series.sparkSession, float(values.mean()) if n else 0.0
+    if n <= block:
+        return spark.range(1).select(*[F.lit(point).alias(c) for c in ("lower", "mean", "upper")])
+    place = lambda share: F.get(F.array_sort(F.collect_list("m")), F.lit(int(share * iterations)))
+    return spark.range(iterations).mapInPandas(means, "m double").agg(place(0.025).alias("lower"), F.lit(point).alias("mean"), place(0.975).alias("upper"))
+
+
+def deflated_sharpe(trials: DataFrame) -> DataFrame:
+    """trials: name, sharpe, n, skew, kurt. With sr0 (the best to expect without skill), psr0 and dsr."""
+    every = trials.agg(F.count(F.lit(1)).alias("n_trials"), F.var_pop("sharpe").alias("spread")).first()  # one row
+    best = expected_max_sharpe(F.lit(max(2, every["n_trials"])), F.lit(every["spread"] or 0.0))
+    psr = lambda against: probabilistic_sharpe("sharpe", "n", "skew", "kurt", against)
+    return trials.withColumns({"sr0": best, "psr0": psr(F.lit(0.0)), "dsr": psr(best)})

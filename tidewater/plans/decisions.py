@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
+from ..functions import scalars
 from ..operators import calibration, decisions, events, filings, panel, risk
 from ..sources.tables import bars, table
 from .market import PANEL, RETS, momentum_panel, rounded
@@ -18,10 +19,11 @@ ORACLE_SQL: dict[str, str] = {}
 FIELDS = decisions.FIELDS
 
 
-def query(sql: str):
+def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
         return f
 
     return add
@@ -177,3 +179,44 @@ def trailing_twelve_months(spark, sf_dir):
     quarters = table(spark, sf_dir, "orders").groupBy("o_custkey", F.to_date(F.date_trunc("quarter", "o_orderdate")).alias("period")).agg(F.sum("o_totalprice").alias("value"))
     rows = filings.trailing(quarters, "o_custkey", "period", "value")
     return rows.select("o_custkey", "period", F.round("value", 2).alias("value"), F.round("ttm", 2).alias("ttm"), F.round("yoy_pct", 6).alias("yoy_pct"))
+
+
+@query("""SELECT o_orderkey, CAST(date_trunc('month', o_orderdate) + INTERVAL (-12) MONTH + to_days(CAST(day(o_orderdate) - 1 AS INTEGER)) AS DATE) AS year_back,
+  CAST(date_trunc('month', o_orderdate) + INTERVAL 1 MONTH + to_days(CAST(day(o_orderdate) - 1 AS INTEGER)) AS DATE) AS month_on FROM orders""")
+def shifted_dates(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", scalars.shift_months("o_orderdate", -12).alias("year_back"), scalars.shift_months("o_orderdate", 1).alias("month_on"))
+
+
+@query("""SELECT p_partkey, CAST(CASE p_partkey % 4 WHEN 0 THEN p_size WHEN 1 THEN 1000 + p_size WHEN 2 THEN -p_size END AS DOUBLE) AS number,
+  CASE p_partkey % 3 WHEN 0 THEN 'T' || p_size WHEN 1 THEN 'BRK.B' END AS ticker FROM part""")
+def parsed_holdings(spark, sf_dir):
+    """Numbers and symbols read back from the ways in which brokers write them."""
+    size = F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 4
+    number = F.when(kind == 0, F.concat(F.lit(" $"), size)).when(kind == 1, F.format_string("$%,d.00", 1000 + F.col("p_size"))).when(kind == 2, F.format_string("($%d)", "p_size")).otherwise("n/a")
+    mark = F.col("p_partkey") % 3
+    symbol = F.when(mark == 0, F.concat(F.lit("$t"), size, F.lit(" (lot 3)"))).when(mark == 1, "brk.b - Class B").otherwise("12 percent")
+    rows = table(spark, sf_dir, "part").select("p_partkey", number.alias("raw_number"), symbol.alias("raw_symbol"))
+    return rows.select("p_partkey", scalars.parse_number("raw_number").alias("number"), scalars.sanitize_ticker("raw_symbol").alias("ticker"))
+
+
+@query("SELECT event_id, round(least(greatest(100 / (1 + exp(-(value / 100 - 0.5) * 3)), 0.5), 99.5), 6) AS exit_pct, round(exp(-(event_id % 30) / 7.0), 6) AS weight FROM events")
+def decayed_evidence(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return rounded(rows.select("event_id", scalars.logistic_percent(F.col("value") / 100).alias("exit_pct"), scalars.time_decay(F.col("event_id") % 30).alias("weight")))
+
+
+@query()
+def isotonic_calibration(spark, sf_dir):
+    return rounded(calibration.isotonic(_forecasts(spark, sf_dir), "p", "quality"))
+
+
+@query()
+def ic_interval(spark, sf_dir):
+    return rounded(calibration.bootstrap_mean(panel.information_coefficients(momentum_panel(spark, sf_dir), "momentum_20d", "fwd_20d"), "date", "ic"))
+
+
+@query()
+def deflated_sharpe(spark, sf_dir):
+    summary = risk.risk_summary(risk.simple_returns(bars(spark, sf_dir)))
+    return rounded(calibration.deflated_sharpe(summary.select("ticker", F.col("sharpe_daily").alias("sharpe"), "n", "skew", "kurt")))
