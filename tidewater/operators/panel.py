@@ -102,3 +102,12 @@ def quintile_spreads(panel: DataFrame, score: str, label: str, least: int = 5) -
 
 def percentiles(panel: DataFrame, score: str, out: str = "percentile") -> DataFrame:
     return panel.filter(F.col(score).isNotNull()).withColumn(out, midrank(score, by_date()))
+
+
+def neutral_ranks(panel: DataFrame, values: list[str], least: int) -> DataFrame:
+    """Per date the MIDRANK percentile of each value as ``<value>_rank``; 50 without a value or with too few names."""
+    ranks = {}
+    for v in values:
+        has = Window.partitionBy("date", F.col(v).isNull())
+        ranks[f"{v}_rank"] = F.when(F.col(v).isNotNull() & (F.count(v).over(by_date()) >= least), midrank(v, has)).otherwise(50.0)
+    return panel.withColumns(ranks)

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as fx
 from ..functions import scalars
-from ..operators import calibration, decisions, events, filings, panel, risk
+from ..operators import calibration, decisions, events, filings, options, panel, risk
 from ..sources.tables import bars, table
-from .market import PANEL, RETS, momentum_panel, rounded
+from .market import BARS, PANEL, RETS, W, momentum_panel, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -220,3 +220,23 @@ def ic_interval(spark, sf_dir):
 def deflated_sharpe(spark, sf_dir):
     summary = risk.risk_summary(risk.simple_returns(bars(spark, sf_dir)))
     return rounded(calibration.deflated_sharpe(summary.select("ticker", F.col("sharpe_daily").alias("sharpe"), "n", "skew", "kurt")))
+
+
+_BACK20, _BACK60 = (f"(PARTITION BY ticker ORDER BY date ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in (20, 60))
+
+
+@query(BARS + f""", r AS (SELECT *, ln(close / lag(close) OVER ({W})) AS ret FROM bars),
+v AS (SELECT ticker, date, stddev_pop(ret) OVER {_BACK20} AS short, stddev_pop(ret) OVER {_BACK60} AS long, row_number() OVER ({W}) - 1 AS n_before FROM r)
+SELECT ticker, date, round(short / long, 6) AS iv_rv, CASE WHEN short / long > 1.3 THEN 'sell premium' ELSE 'buy premium' END AS side, round(least(100, abs(short / long - 1) * 100), 6) AS score
+FROM v WHERE n_before > 60 AND short > 0 AND (short / long > 1.3 OR short / long < 0.85)""")
+def premium_flags(spark, sf_dir):
+    """Short volatility stands for the implied one, long volatility for the forecast."""
+    rows = panel.price_features(bars(spark, sf_dir)).filter("n_before > 60").select("ticker", "date", "volatility_20d", "volatility_60d")
+    return rounded(options.premium_flags(rows, "volatility_20d", "volatility_60d").select("ticker", "date", "iv_rv", "side", "score"))
+
+
+@query(PANEL + """, c AS (SELECT *, count(momentum_20d) OVER (PARTITION BY date) AS n FROM panel)
+SELECT ticker, date, round(CASE WHEN momentum_20d IS NULL OR n < 20 THEN 50 ELSE
+  (rank() OVER (PARTITION BY date, momentum_20d IS NULL ORDER BY momentum_20d) - 1 + (count(*) OVER (PARTITION BY date, momentum_20d) - 1) / 2.0) / (n - 1) * 100 END, 6) AS momentum_20d_rank FROM c""")
+def neutral_ranks(spark, sf_dir):
+    return rounded(panel.neutral_ranks(momentum_panel(spark, sf_dir), ["momentum_20d"], 20).select("ticker", "date", "momentum_20d_rank"))
