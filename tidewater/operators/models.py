@@ -138,4 +138,6 @@ def volatility_models(returns: DataFrame) -> DataFrame:
         return pd.DataFrame([row])
 
     schema = "ticker string, n bigint, omega double, alpha double, beta double, garch_vol double, har_vol double, hurst double, calm_vol double, wild_vol double, wild_probability double, kalman_beta double, kalman_variance double"
-    return returns.groupBy("ticker").applyInPandas(fitted, schema)
+    # a number of its own keeps the adaptive plan from putting small series, which are slow to fit, into one task
+    tasks = int(returns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return returns.repartition(tasks, "ticker").groupBy("ticker").applyInPandas(fitted, schema)
