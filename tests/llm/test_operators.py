@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
@@ -302,7 +303,7 @@ def test_tokenizer_shortcut():
     rng = random.Random(4)
     signs = [chr(c) for c in range(32, 256)] + list("'stredvml  \n\t…–’“€ŒÀéß")
     texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 60))) for _ in range(3000)]
-    for t, ids in zip(texts, token_files.encode_texts(texts, public_tokenizers.path("word_bpe_49k.json")), strict=True):
+    for t, ids in zip(texts, token_files.encode_texts(pa.array(texts), public_tokenizers.path("word_bpe_49k.json")), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids, t
 
 

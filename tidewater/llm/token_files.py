@@ -20,16 +20,20 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from .common import new_path
 
@@ -38,8 +42,10 @@ END = 1
 SHARD_IDS = 1_000_000
 FIRST_RULE = 1 << 16
 ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 3, 8192, 24
-#: Words whose ids a Python worker keeps.
-KEPT_WORDS = 800_000
+#: Words whose ids a Python worker keeps, and bytes of text that it encodes at once.
+KEPT_WORDS, GROUP_BYTES = 400_000, 8 << 20
+#: The mark at the end of the last piece of a word.
+WORD_END = "</w>"
 
 SHARD = "part int, seq int, n_ids bigint, doc_ids binary, nulls binary, sizes binary, rules binary, lengths binary, begins binary, sequence binary"
 
@@ -50,34 +56,93 @@ _PARTS = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\t-\r {_L}{_N}]+")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
-@functools.cache
-def tokenizer(path: str) -> Tokenizer:
-    return Tokenizer.from_file(path)
-
-
-_seen: dict[str, dict[str, bytes]] = {}
-
-
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """The tokenizer's ids of each text as 32-bit little-endian numbers; each new word goes to it once."""
-    tok, seen = tokenizer(path), _seen.setdefault(path, {})
-    cut = [None if _SPECIAL.search(t) or not _PLAIN.fullmatch(t) else _PARTS.findall(t.lower()) for t in texts]
-    new = list(set().union(*[c for c in cut if c]).difference(seen))
-    if len(seen) + len(new) > KEPT_WORDS:
-        seen.clear()
-        new = list(set().union(*[c for c in cut if c]))
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        told = tok.encode("\n".join(some), add_special_tokens=False)  # each word is one pre-token of this text
-        ids, of = np.array(told.ids, "<u4"), np.array(told.word_ids, np.int64)
-        cuts = np.flatnonzero(np.diff(of)) + 1
-        if len(cuts) + 1 == len(some):
-            raw, bounds = ids.tobytes(), [0, *(4 * cuts).tolist(), 4 * len(ids)]
-            seen.update(zip(some, [raw[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], strict=True))
-        else:
-            seen.update((w, np.array(tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()) for w in some)
-    get = seen.__getitem__
-    return [b"".join(map(get, c)) if c is not None else np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t, c in zip(texts, cut, strict=True)]
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[i], starts[i] + 1, ... sizes[i] numbers long, for every i in a row."""
+    places = np.repeat(starts - np.cumsum(sizes) + sizes, sizes)
+    places += np.arange(len(places))
+    return places
+
+
+def bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+class Vocabulary:
+    """Ids of words, each word encoded when it is first met.
+
+    No word reaches over white space, so the ids of a plain text are those of its chunks (what white space
+    parts) in a row, and a chunk's ids those of its words. A group's distinct chunks are cut into words once.
+    """
+
+    def __init__(self, path: str):
+        self.full = Tokenizer.from_file(path)
+        # the same merges for words that are cut and in lower case already
+        self.words = Tokenizer(self.full.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.ends = np.zeros(self.full.get_vocab_size(), bool)
+        self.ends[[i for piece, i in self.full.get_vocab().items() if piece.endswith(WORD_END)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: defaultdict[str, int] = defaultdict()
+        self.places.default_factory = self.places.__len__  # a new word gets the next number
+        self.ids, self.starts = array("I"), array("q", [0])
+
+    def _learn(self) -> None:
+        """Encode the words that have a number but no ids yet."""
+        new = list(islice(reversed(self.places), len(self.places) - len(self.starts) + 1))[::-1]
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            told = np.array(self.words.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[told]) + 1
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer's pieces do not mark the ends of words")
+            self.starts.frombytes((len(self.ids) + ends).tobytes())
+            self.ids.frombytes(told.tobytes())
+
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks in a row, and the bounds of each."""
+        if len(self.places) > KEPT_WORDS or len(self.ids) > 8 * KEPT_WORDS:
+            self.forget()
+        cut = list(map(_PARTS.findall, chunks))
+        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64)
+        if len(self.places) >= len(self.starts):
+            self._learn()
+        starts = np.frombuffer(self.starts, np.int64)
+        sizes = starts[at + 1] - starts[at]
+        ids = np.frombuffer(self.ids, np.uint32)[ranges(starts[at], sizes)]
+        return ids, bounds(sizes)[bounds(np.fromiter(map(len, cut), np.int64, len(cut)))]
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        told = texts.to_pylist()
+        plain = [not _SPECIAL.search(t) and bool(_PLAIN.fullmatch(t)) for t in told]
+        chunks = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain, pa.bool_()), texts, "")))
+        distinct = chunks.flatten().dictionary_encode()
+        ids, at = self._chunks(distinct.dictionary.to_pylist())
+        code = distinct.indices.to_numpy()
+        sizes = np.diff(at)[code]
+        flat = ids[ranges(at[code], sizes)]
+        offsets = chunks.offsets.to_numpy()
+        cuts = bounds(sizes)[offsets - offsets[0]].tolist()
+        return [flat[a:b] if p else np.array(self.full.encode(t, add_special_tokens=False).ids, np.uint32) for t, p, a, b in zip(told, plain, cuts[:-1], cuts[1:], strict=True)]
+
+
+vocabulary = functools.cache(Vocabulary)
+
+
+def encode_texts(texts: pa.Array, path: str) -> list[np.ndarray]:
+    """The tokenizer's ids of each text (strings without nulls) as 32-bit numbers."""
+    return vocabulary(path).encode(texts)
+
+
+def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that end as soon as their sizes come to so much."""
+    begin, size = 0, 0
+    for i, n in enumerate(sizes, 1):
+        size += n
+        if size >= most or i == len(sizes):
+            yield begin, i
+            begin, size = i, 0
 
 
 def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
@@ -118,10 +183,12 @@ def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
-    lengths: list[int] = []
-    for a, b in rules.tolist():
-        lengths.append((lengths[a - FIRST_RULE] if a >= FIRST_RULE else 1) + (lengths[b - FIRST_RULE] if b >= FIRST_RULE else 1))
-    return np.array(lengths, np.uint32)
+    """Ids that each nonterminal stands for; as many passes as rules are nested."""
+    deep, of = rules >= FIRST_RULE, np.maximum(rules, FIRST_RULE) - FIRST_RULE
+    lengths = np.full(len(rules), 2, np.int64)
+    while len(rules) and not np.array_equal(told := np.where(deep, lengths[of], 1).sum(1), lengths):
+        lengths = told
+    return lengths.astype(np.uint32)
 
 
 def expanded(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
@@ -135,17 +202,21 @@ def expanded(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
-def _shard(part: int, seq: int, docs: list, ids: list[bytes]) -> tuple:
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def _shard(part: int, seq: int, docs: list, ids: list[np.ndarray]) -> tuple:
+    sizes = np.array([len(x) + 1 for x in ids], np.int64)
+    last = np.cumsum(sizes) - 1
+    flat = np.full(int(sizes.sum()), END, np.uint32)
+    within = np.ones(len(flat), bool)
+    within[last] = False
+    flat[within] = np.concatenate(ids)
     short, rules = repair(flat)
-    ends = np.flatnonzero(short == END) if all(len(x) == 4 or END not in np.frombuffer(x, "<u4")[:-1] for x in ids) else None
-    sizes = np.array([len(x) // 4 for x in ids], np.int64)
     lengths = rule_lengths(rules)
-    if ends is None or len(ends) != len(ids):  # an id within a text equals the end id: find the ends by expansion lengths
+    ends = np.flatnonzero(short == END)
+    if len(ends) != len(ids):  # an id within a text equals the end id: find the ends by expansion lengths
         each = np.ones(len(short), np.int64)
         deep = short >= FIRST_RULE
         each[deep] = lengths[short[deep] - FIRST_RULE]
-        ends = np.searchsorted(np.cumsum(each), np.cumsum(sizes))
+        ends = np.searchsorted(np.cumsum(each), last + 1)
     begins = np.concatenate([[0], ends + 1]).astype(np.int64)
     nulls = bytes(d is None for d in docs)
     press = zstandard.ZstdCompressor(level=1)
@@ -166,14 +237,13 @@ def write_tokens(docs: DataFrame, out: str, path: str | None = None, shard_ids:
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq, held, ids, size = TaskContext.get().partitionId(), 0, [], [], 0
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for at in range(0, len(texts), 512):
-                for key, x in zip(keys[at : at + 512], encode_texts(texts[at : at + 512], path), strict=True):
+            keys, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            for lo, hi in groups(pc.binary_length(texts).to_pylist(), GROUP_BYTES):
+                for key, x in zip(keys[lo:hi], encode_texts(texts.slice(lo, hi - lo), path), strict=True):
                     held.append(key)
-                    ids.append(x + end)
-                    size += len(x) // 4 + 1
+                    ids.append(x)
+                    size += len(x) + 1
                     if size >= shard_ids:
                         yield _batch([_shard(part, seq, held, ids)])
                         seq, held, ids, size = seq + 1, [], [], 0
