@@ -339,6 +339,19 @@ def test_toxicity(spark, docs, rows, none):
     assert {r["score"] for r in toxicity.toxicity_report(docs, marked.limit(0)).collect()} < {x / 1e9 for x in range(2)} | {r["score"] for r in toxicity.toxicity_report(docs, marked.limit(0)).limit(1).collect()} | {0.0}
 
 
+def test_toxicity_fit_sees_all_windows():
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["garden", "Élan", "x1", "idiot", "b,c"]) for _ in range(n)) for n in (2000, 0, 1, 11, 12, 13, 18, 19, 500)]
+    sample = toxicity.Sample(texts)
+    table = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    want = []
+    for d, text in enumerate(texts):
+        means = toxicity.word_means(text, table)
+        want += [(d, means[a : a + 12].mean() + 0.5) for a in range(0, max(1, len(means) - 6), 6) if len(means)]
+    assert sample.doc.tolist() == [d for d, _ in want] and len(want) > 400
+    np.testing.assert_allclose(sample.logits(table, 0.5), [x for _, x in want], atol=1e-9)
+
+
 def test_pieces_lose_no_words():
     text = " ".join(str(i) for i in range(300_000))
     assert "".join(toxicity.slices(text)) == text and len(list(toxicity.slices(text))) > 1

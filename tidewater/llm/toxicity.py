@@ -6,8 +6,8 @@ is the mean of its words' means; a softmax over two classes reads it. A text sco
 window, so a long text does not dilute a short insult, and a misspelt word shares most n-grams with the
 word it stands for. All windows of a text are scored.
 
-Fitted on at most MAX_FIT_ROWS labelled rows (chosen by a hash of the identifier) and MAX_FIT_WINDOWS
-windows of each. Each half of the texts teaches a first model that looks through the other half; windows of
+Fitted on at most MAX_FIT_ROWS labelled rows (chosen by a hash of the identifier) and all windows of each;
+texts are kept as word numbers, from which a mini-batch is built when its turn comes. Each half of the texts teaches a first model that looks through the other half; windows of
 toxic texts that it finds clean are left out of the final fit.
 
 Defined results: a null text counts as empty; a text without words has the score of no evidence, the
@@ -28,7 +28,6 @@ from pyspark.sql import functions as F
 from .common import crc_fold, within_bound
 
 MAX_FIT_ROWS = 6_000
-MAX_FIT_WINDOWS = 24
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
 DIM = 8
@@ -46,9 +45,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return ((h ^ (h >> np.uint64(32))) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
+def plain(text: str) -> bytes:
+    """The lower-cased text with blanks between its words."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_BLANK)
+
+
 def words_and_grams(text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    return grams(plain(text))
+
+
+def grams(raw: bytes) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
     """The words' starts among the bytes, and for each kind of subword (word number, bucket) of its occurrences."""
-    raw = text.lower().encode("utf-8", "surrogatepass").translate(_BLANK)
     b = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint64)
     blank = b == 32
     starts = np.flatnonzero(blank[:-1] & ~blank[1:])  # the blank before a word
@@ -69,7 +76,7 @@ def words_and_grams(text: str) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nd
             h = h * np.uint64(0x100000001B3) + b[at + j]
         found.append((number[at], _mixed(h)))
     within = np.arange(len(b)) - starts[np.clip(number, 0, None)]
-    whole = np.add.reduceat(b * _POWERS[within.clip(0, 63)] * (within > 0), starts)
+    whole = np.add.reduceat(b * _POWERS[within.clip(0, 63)] * ((within > 0) & ~blank), starts)
     found.append((np.arange(len(starts)), _mixed(whole + np.uint64(1))))
     return starts, found
 
@@ -112,62 +119,97 @@ def toxic_logit(text: str, table: np.ndarray, bias: float) -> float:
     return float(((sums[end] - sums[at]) / (end - at)).max() + bias)
 
 
-def _windows(texts: list[str], rng: np.random.Generator):
-    """Sparse rows of windows: document of each, and (window, bucket, weight) entries."""
-    doc, rows, cols, weights = [], [], [], []
-    n_rows = 0
-    for d, text in enumerate(texts):
-        starts, found = words_and_grams(text[: 1 << 22])
-        n = len(starts)
-        if not n:
-            continue
-        at = window_starts(n)
-        if len(at) > MAX_FIT_WINDOWS:
-            at = np.sort(rng.choice(at, MAX_FIT_WINDOWS, replace=False))
-        word = np.concatenate([w for w, _ in found])
-        bucket = np.concatenate([x for _, x in found])
-        order = np.argsort(word, kind="stable")
-        word, bucket = word[order], bucket[order]
-        per = np.bincount(word, minlength=n)
-        begin = np.concatenate([[0], np.cumsum(per)])
-        for a in at:
-            e = min(a + WINDOW, n)
-            lo, hi = begin[a], begin[e]
-            rows.append(np.full(hi - lo, n_rows, np.int32))
-            cols.append(bucket[lo:hi].astype(np.int32))
-            weights.append((1 / (per[word[lo:hi]] * (e - a))).astype(np.float32))
-            doc.append(d)
-            n_rows += 1
-    cat = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-    return np.array(doc, np.int64), cat(rows, np.int32), cat(cols, np.int32), cat(weights, np.float32)
-
-
-def _fit_windows(y, rows, cols, weights, rng, epochs: int, rate: float = 0.5, batch: int = 512):
-    """Embeddings E and softmax weights W, b, by mini-batches of Adagrad; classes count alike."""
+class Sample:
+    """Texts as word numbers, each word's buckets, and all windows: document, begin among the word numbers, size."""
+
+    def __init__(self, texts: list[str]):
+        number: dict[bytes, int] = {}
+        words, docs, begins, buckets, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        total = 0
+        for d, text in enumerate(texts):
+            said = plain(text[: 1 << 22]).split()
+            if not said:
+                continue
+            new = [w for w in dict.fromkeys(said) if w not in number]
+            number.update(zip(new, range(len(number), len(number) + len(new)), strict=True))
+            ids = np.fromiter(map(number.__getitem__, said), np.int32, len(said))
+            starts, found = grams(b" ".join(new))
+            if found:
+                word = np.concatenate([w for w, _ in found])
+                order = np.argsort(word, kind="stable")
+                buckets.append(np.concatenate([x for _, x in found])[order].astype(np.int32))
+                counts.append(np.bincount(word, minlength=len(starts)))
+            at = window_starts(len(ids))
+            words.append(ids)
+            docs.append(np.full(len(at), d))
+            begins.append(total + at)
+            total += len(ids)
+        self.words, self.doc, self.begin = np.concatenate(words), np.concatenate(docs), np.concatenate(begins)
+        self.buckets, self.per = np.concatenate(buckets), np.concatenate(counts)
+        self.first = np.cumsum(self.per) - self.per
+        ends = np.cumsum(np.bincount(self.doc, np.diff(self.begin, append=total), len(texts))).astype(np.int64)
+        self.size = np.minimum(WINDOW, ends[self.doc] - self.begin)
+
+    def logits(self, table: np.ndarray, bias: float) -> np.ndarray:
+        """The logit of each window."""
+        means = np.add.reduceat(table[self.buckets], self.first) / self.per
+        sums = np.concatenate([[0], np.cumsum(means[self.words])])
+        return (sums[self.begin + self.size] - sums[self.begin]) / self.size + bias
+
+
+def _runs(first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places of runs, one behind the other, and where each run begins among them."""
+    begin = np.cumsum(size) - size
+    return np.repeat(first - begin, size) + np.arange(size.sum()), begin
+
+
+class Distinct:
+    """The different ones among numbers below a bound, in order, and which of them each number is."""
+
+    def __init__(self, bound: int):
+        self.met, self.slot = np.zeros(bound, bool), np.empty(bound, np.int64)
+
+    def __call__(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.met[numbers] = True
+        found = np.flatnonzero(self.met)
+        self.met[found] = False
+        self.slot[found] = np.arange(len(found))
+        return found, self.slot[numbers]
+
+
+def _fit_windows(y, sample: Sample, chosen: np.ndarray, rng, epochs: int, rate: float = 0.5, batch: int = 512):
+    """Embeddings E and softmax weights W, b, by mini-batches of Adagrad over the chosen windows; classes count alike."""
     E = rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32)
     W, b = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     W[:, 1], W[:, 0] = 0.5, -0.5
     gE, gW, gb = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6, np.float32), np.full(2, 1e-6, np.float32)
-    n = len(y)
-    begin = np.searchsorted(rows, np.arange(n + 1))
+    words, cells = Distinct(len(sample.per)), Distinct(BUCKETS)
+    n = len(chosen)
+    y = y[chosen]
     share = np.array([0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y == 1).sum())]) * n
     for _ in range(epochs):
         order = rng.permutation(n)
         for at in range(0, n, batch):
             pick = order[at : at + batch]
-            size = begin[pick + 1] - begin[pick]
-            entry = np.repeat(begin[pick] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-            row, col, w = np.repeat(np.arange(len(pick)), size), cols[entry], weights[entry]
-            X = np.add.reduceat(E[col] * w[:, None], np.concatenate([[0], np.cumsum(size)[:-1]]))
+            size = sample.size[chosen[pick]]
+            place, begin = _runs(sample.begin[chosen[pick]], size)
+            # a batch's different words are looked up once
+            word, which = words(sample.words[place])
+            per = sample.per[word]
+            entry, first = _runs(sample.first[word], per)
+            col = sample.buckets[entry]
+            means = np.add.reduceat(E[col], first) / per[:, None].astype(np.float32)
+            X = np.add.reduceat(means[which], begin) / size[:, None].astype(np.float32)
             z = X @ W + b
             z -= z.max(1, keepdims=True)
             p = np.exp(z)
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(pick)), y[pick]] -= 1
             p *= share[y[pick]][:, None] / len(pick)
-            dX, dW, db = p @ W.T, X.T @ p, p.sum(0)
-            used, where = np.unique(col, return_inverse=True)
-            dE = np.stack([np.bincount(where, dX[row, k] * w, len(used)) for k in range(DIM)], 1)
+            dX, dW, db = p @ W.T / size[:, None], X.T @ p, p.sum(0)
+            dword = [np.bincount(which, np.repeat(dX[:, k], size), len(word)) / per for k in range(DIM)]
+            used, where = cells(col)
+            dE = np.stack([np.bincount(where, np.repeat(dword[k], per), len(used)) for k in range(DIM)], 1)
             gE[used] += (dE**2).mean(1)
             gW += dW**2
             gb += db**2
@@ -184,24 +226,23 @@ def train(texts: list[str], labels: list[int], seed: int = 1, epochs: int = 8) -
     if not (0 < y.sum() < len(y)):
         return none
     rng = np.random.default_rng(seed)
-    doc, rows, cols, weights = _windows(texts, rng)
+    sample = Sample(texts)
+    doc = sample.doc
     if not len(doc):
         return none
     # each half of the texts is looked through by what the other half teaches
     logit, half = np.zeros(len(doc)), doc % 2
     for side in (0, 1):
-        taught = half != side
-        entry = taught[rows]
-        table, bias = _fit_windows(y[doc][taught], (np.cumsum(taught) - 1)[rows[entry]], cols[entry], weights[entry], rng, max(2, epochs // 2))
-        logit[~taught] = (np.bincount(rows, table[cols] * weights, len(doc)) + bias)[~taught]
+        table, bias = _fit_windows(y[doc], sample, np.flatnonzero(half != side), rng, max(2, epochs // 2))
+        logit[half == side] = sample.logits(table, bias)[half == side]
     # of a toxic text only the windows that look toxic are toxic; a text without any teaches nothing
     use = (y[doc] == 0) | (logit > 0)
     if not (use & (y[doc] == 1)).any():
         use[:] = True
-    new = np.cumsum(use) - 1
-    entry = use[rows]
-    table, bias = _fit_windows(y[doc][use], new[rows[entry]], cols[entry], weights[entry], rng, epochs)
-    score = np.array([toxic_logit(t, table, bias) for t in texts])
+    table, bias = _fit_windows(y[doc], sample, np.flatnonzero(use), rng, epochs)
+    score = np.full(len(texts), -np.inf)
+    np.maximum.at(score, doc, sample.logits(table, bias))
+    score[np.isinf(score)] = bias
     mean, spread = score.mean(), score.std() + 1e-9
     x, a, c = (score - mean) / spread, 1.0, 0.0
     for _ in range(500):  # logistic calibration of the texts' logits
