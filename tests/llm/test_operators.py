@@ -352,6 +352,14 @@ def test_toxicity_fit_sees_all_windows():
     np.testing.assert_allclose(sample.logits(table, 0.5), [x for _, x in want], atol=1e-9)
 
 
+def test_toxicity_fit_reads_whole_texts():
+    text = "x" * 1000 + " " + "ab " * 1_400_000 + "numbskull"
+    sample = toxicity.Sample([text])
+    table = np.random.default_rng(1).normal(size=toxicity.BUCKETS)
+    assert len(text) > 1 << 22 and len(sample.words) == 1_400_002 and len(sample.per) == 3
+    assert sample.logits(table, 0.0).max() == pytest.approx(toxicity.toxic_logit(text, table, 0.0))
+
+
 def test_pieces_lose_no_words():
     text = " ".join(str(i) for i in range(300_000))
     assert "".join(toxicity.slices(text)) == text and len(list(toxicity.slices(text))) > 1

@@ -127,7 +127,7 @@ class Sample:
         words, docs, begins, buckets, counts = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int64)]
         total = 0
         for d, text in enumerate(texts):
-            said = plain(text[: 1 << 22]).split()
+            said = [w for piece in slices(text) for w in plain(piece).split()]
             if not said:
                 continue
             new = [w for w in dict.fromkeys(said) if w not in number]
