@@ -1,14 +1,16 @@
 """Market queries against their SQL, textbook constants and causality."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import difference
 from tidewater import registry
 from tidewater.functions import columns as fx
-from tidewater.operators import joins, panel
+from tidewater.operators import joins, models, panel
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +46,43 @@ def test_asof_carries_a_whole_row(spark):
     right = spark.createDataFrame([("k", 1, 10.0), ("k", 5, None)], "k string, t int, v double")
     got = {r["t"]: r["asof"] and (r["asof"]["asof_time"], r["asof"]["v"]) for r in joins.asof_join(left, right, "k", "t", "t", ["v"]).collect()}
     assert got == {1: None, 5: (1, 10.0), 9: (5, None)}
+
+
+def test_models_read_whole_series(spark):
+    rng, rows, n = random.Random(8), [], 3000
+    vol = 0.01
+    for d in range(n):
+        vol = 0.002 + 0.8 * vol + 0.1 * abs(rng.gauss(0, vol)) if d > 500 else 0.04  # the oldest returns are the wildest
+        market = rng.gauss(0, vol)
+        rows.append(("a", d, 1.3 * market + rng.gauss(0, vol), market))
+    got = models.volatility_models(spark.createDataFrame(rows, "ticker string, date int, ret double, market double").repartition(3)).collect()
+    assert len(got) == 1 and got[0]["n"] == n
+    got = got[0]
+    r = [x[2] for x in rows]
+    mean = sum(r) / n
+    variance = sum((x - mean) ** 2 for x in r) / n
+    last = variance
+    for x in r:
+        last = got["omega"] + got["alpha"] * x * x + got["beta"] * last
+    assert got["garch_vol"] == pytest.approx(math.sqrt(last * 252))
+
+    def loss(omega, alpha, beta):
+        h, total = variance, 0.0
+        for x in r:
+            total += 0.5 * (math.log(h) + x * x / h)
+            h = omega + alpha * x * x + beta * h
+        return total
+
+    fitted = loss(got["omega"], got["alpha"], got["beta"])
+    near = [(got["omega"] * a, got["alpha"] * b, got["beta"] * c) for a in (0.98, 1, 1.02) for b in (0.98, 1, 1.02) for c in (0.99, 1, 1.01)]
+    assert all(fitted <= loss(*p) + 1e-3 for p in near if p[1] + p[2] < 0.999)
+    beta, spread = 1.0, 1.0
+    for _, _, y, x in rows:
+        spread += 1e-5
+        gain = spread * x / (x * x * spread + 1e-3)
+        beta, spread = beta + gain * (y - beta * x), (1 - gain * x) * spread
+    assert (got["kalman_beta"], got["kalman_variance"]) == pytest.approx((beta, spread))
+    size = np.abs(r)
+    x = np.array([[1, size[t - 1], size[t - 5 : t].mean(), size[t - 22 : t].mean()] for t in range(22, n + 1)])
+    b = np.linalg.solve(x[:-1].T @ x[:-1], x[:-1].T @ size[22:])
+    assert got["har_vol"] == pytest.approx(max(0.0, x[-1] @ b) * math.sqrt(252))

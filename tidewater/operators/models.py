@@ -1,4 +1,4 @@
-"""Models of one series at a time, as grouped functions over a bounded history of each ticker."""
+"""Models of one series at a time, as grouped functions over all returns of each ticker, one a date."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 YEAR = np.sqrt(252)
-#: A ticker's newest returns that a model reads.
-HISTORY = 2520
 
 
 def garch_path(returns: np.ndarray, omega: float, alpha: float, beta: float) -> np.ndarray:
@@ -66,7 +64,7 @@ def fit_garch(returns: np.ndarray) -> tuple[float, float, float]:
         h = garch_path(returns, omega, alpha, beta)[:-1]
         return float(0.5 * (np.log(h) + returns**2 / h).sum())
 
-    found = simplex_minimum(loss, np.array(fallback), 120)
+    found = simplex_minimum(loss, np.array(fallback), 200)
     return tuple(found) if loss(found) < 1e10 else fallback
 
 
@@ -129,7 +127,7 @@ def volatility_models(returns: DataFrame) -> DataFrame:
     """returns: ticker, date, ret, market (the market's return that day)."""
 
     def fitted(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("date").tail(HISTORY)
+        group = group.sort_values("date")
         r, m = group["ret"].to_numpy(float), group["market"].to_numpy(float)
         omega, alpha, beta = fit_garch(r)
         calm, wild, p = two_regimes(r)
