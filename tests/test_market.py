@@ -86,3 +86,18 @@ def test_models_read_whole_series(spark):
     x = np.array([[1, size[t - 1], size[t - 5 : t].mean(), size[t - 22 : t].mean()] for t in range(22, n + 1)])
     b = np.linalg.solve(x[:-1].T @ x[:-1], x[:-1].T @ size[22:])
     assert got["har_vol"] == pytest.approx(max(0.0, x[-1] @ b) * math.sqrt(252))
+
+
+def test_hurst_by_mean_squares():
+    rng = random.Random(3)
+    level, r = 0.0, []
+    for _ in range(400):
+        level = 0.97 * level + rng.gauss(0, 1)
+        r.append(0.01 * math.exp(level) * rng.choice((-1, 1)))
+    r[5] = 0.0
+    y = [math.log(max(1e-8, abs(x))) for x in r]
+    points = [(math.log(k), math.log(sum((y[i] - y[i - k]) ** 2 for i in range(k, 400)) / (400 - k))) for k in (1, 2, 3, 5, 8, 13, 21)]
+    mx, my = (sum(p[i] for p in points) / 7 for i in (0, 1))
+    slope = sum((a - mx) * (b - my) for a, b in points) / sum((a - mx) ** 2 for a, _ in points)
+    assert 0.05 < slope / 2 < 0.5 and models.hurst(np.array(r)) == pytest.approx(slope / 2)
+    assert models.hurst(np.array(r[:99])) == 0.1

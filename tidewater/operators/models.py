@@ -81,13 +81,13 @@ def har_forecast(returns: np.ndarray) -> float:
 
 
 def hurst(returns: np.ndarray) -> float:
-    """Log-log slope of the mean absolute increments of log squared returns, kept within 0.05 and 0.5."""
-    y = np.log(np.maximum(returns**2, 1e-12)) / 2
+    """Half the log-log slope of the mean squared increments of log absolute returns, kept within 0.05 and 0.5."""
+    if len(returns) < 100:
+        return 0.1
+    y = np.log(np.maximum(np.abs(returns), 1e-8))
     lags = np.array([1, 2, 3, 5, 8, 13, 21])
-    if len(y) < 4 * lags[-1]:
-        return 0.5
-    m = np.array([np.abs(y[k:] - y[:-k]).mean() for k in lags])
-    return float(np.clip(np.polyfit(np.log(lags), np.log(np.maximum(m, 1e-12)), 1)[0], 0.05, 0.5))
+    m = np.array([((y[k:] - y[:-k]) ** 2).mean() for k in lags])
+    return float(np.clip(np.polyfit(np.log(lags), np.log(np.maximum(m, 1e-24)), 1)[0] / 2, 0.05, 0.5))
 
 
 def kalman_beta(stock: np.ndarray, market: np.ndarray, drift: float = 1e-5, noise: float = 1e-3) -> tuple[float, float]:
