@@ -1,8 +1,10 @@
 """Each operator against a brute-force version, on rows with nulls, empty and long texts, ties and copies."""
 
 import hashlib
+import math
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -225,20 +227,93 @@ def test_mixing(spark, docs, rows, none):
     assert mixing.mix_report(none).count() == 0
 
 
-def test_language(docs, rows, none):
+def spelled_letters(text):
+    """Runs of letters, one character at a time."""
+    runs, run = [], ""
+    for c in text.lower() + " ":
+        if unicodedata.category(c).startswith("L"):
+            run += c
+        elif run:
+            runs.append(run)
+            run = ""
+    return runs
+
+
+def scored_languages(texts, langs, asked):
+    """An independent scorer: counts by language, words first, the longest known n-grams for other words."""
+    counts = [defaultdict(Counter) for _ in range(5)]
+    for text, lang in zip(texts, langs, strict=True):
+        for w in spelled_letters(text):
+            counts[0][w][lang] += 1
+            for k in range(1, 5):
+                for i in range(len(w) + 3 - k):
+                    counts[k][f"<{w}>"[i : i + k]][lang] += 1
+    names = sorted(set(langs))
+    sums = [{x: sum(c[x] for c in table.values()) for x in names} for table in counts]
+    part = lambda k, g, x: math.log((counts[k][g][x] + 0.5) / (sums[k][x] + 0.5 * (len(counts[k]) + 1)))
+    out = []
+    for text in asked:
+        score = dict.fromkeys(names, 0.0)
+        words = spelled_letters(text or "")
+        for w in words:
+            order, found = 0, [w] if w in counts[0] else []
+            for k in range(min(4, len(w) + 2), 0, -1):
+                if found:
+                    break
+                order, found = k, [g for i in range(len(w) + 3 - k) if (g := f"<{w}>"[i : i + k]) in counts[k]]
+            for x in names:
+                score[x] += sum(part(order, g, x) for g in found) / max(1, len(found))
+        best = max(names, key=lambda x: (score[x], [-ord(c) for c in x]))
+        out.append((best, 1 / sum(math.exp(v - score[best]) for v in score.values())) if words else ("und", 0.0))
+    return out
+
+
+def test_language(spark, docs, rows, none):
     en = "the house and the garden of a man with some water in it"
     fr = "la maison et le jardin pour un homme avec de l'eau dans une rue"
-    more = [(i + 1, en if i % 2 else fr, "en" if i % 2 else "fr", None, 0, "", "") for i in range(40)]
-    df = docs.sparkSession.createDataFrame(more + [(900, "The gardens", None, None, 0, "", ""), (901, None, "en", None, 0, "", ""), (902, "12 %", "en", None, 0, "", ""), (903, "hommes jardins", "x", None, 0, "", "")], SCHEMA)
+    learned = [(i + 1, en if i % 2 else fr + " élan " * (i % 3), "en" if i % 2 else "fr", None, 0, "", "") for i in range(40)]
+    asked = ["The gardens", None, "12 %", "hommes jardins", "½ ² 3 Ⅷ", "\u0301 \u0300", "ÉLAN vital", "中文字", "x\u0301y zzz", "it" * 500, "la the 中 élan's Σίσυφος"]
+    df = spark.createDataFrame(learned + [(900 + i, t, None, None, 0, "", "") for i, t in enumerate(asked)], SCHEMA)
     model = language_id.fit(df.filter("doc_id < 900"))
     said = {r["doc_id"]: r for r in language_id.predicted(df, model, ["doc_id"]).select("row.doc_id", "lang_pred", "score").collect()}
-    assert [said[i]["lang_pred"] for i in (900, 901, 902, 903)] == ["en", "und", "und", "fr"]
-    assert said[901]["score"] == 0 and all(0 <= r["score"] <= 1 for r in said.values())
+    want = scored_languages([r[1] for r in learned], [r[2] for r in learned], asked)
+    for i, (lang, score) in enumerate(want):
+        assert said[900 + i]["lang_pred"] == lang, asked[i]
+        assert said[900 + i]["score"] == pytest.approx(score, abs=1e-4)
+    assert [said[900 + i]["lang_pred"] for i in range(6)] == ["en", "und", "und", "fr", "und", "und"]
     report = language_id.language_report(docs).collect()
     assert len(report) == len(rows) and {r["held_out"] for r in report} == {True, False}
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in report)
     assert language_id.language_report(none).count() == 0
+    nameless = spark.createDataFrame([(None, en, "en", None, 0, "", ""), (None, None, None, None, None, None, None), (1, fr, "fr", "s", 1, "", "")], SCHEMA)
+    assert sorted((r["lang_pred"], r["held_out"]) for r in language_id.language_report(nameless).collect()) == [("en", False), ("fr", zlib.crc32(b"1") % 4 == 2), ("und", False)]
+
+
+def test_language_filter(spark, docs, rows, none):
+    en, fr = "the house and the garden of a man", "la maison et le jardin pour un homme"
+    df = spark.createDataFrame([(i, (en, fr, "½ Ⅷ", None)[i % 4], ("en", "fr", None, "en")[i % 4], None, 0, "", "") for i in range(60)], SCHEMA)
+    stay = lambda **k: {r["doc_id"] % 4 for r in language_id.with_language(df, **k).collect()}
+    assert stay() == {0, 1} and stay(keep=["fr"]) == {1} and stay(keep=[]) == set() and stay(least=1.1) == set()
     assert language_id.with_language(docs).columns == docs.columns
+    assert language_id.with_language(none).count() == 0
+
+
+def test_language_sample_keeps_rare_languages(spark):
+    rows = spark.range(3000).selectExpr("id AS doc_id", "'the word' AS text", "CASE WHEN id = 7 THEN 'rare' WHEN id % 2 = 0 THEN 'en' ELSE 'fr' END AS lang")
+    got = Counter(r["lang"] for r in language_id.sampled(rows, 100)[0].collect())
+    assert got["rare"] == 1 and 60 < got["en"] < 140 and 60 < got["fr"] < 140
+
+
+def test_language_held_out_accuracy(spark):
+    from pathlib import Path
+
+    table = Path("/root/testdata/sf0.01/documents.parquet")
+    if not table.exists():
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(str(table))
+    real = {r["doc_id"]: r["lang"] for r in docs.filter("lang is not null and text is not null").select("doc_id", "lang").collect()}
+    told = [r["lang_pred"] == real[r["doc_id"]] for r in language_id.language_report(docs).filter("held_out").collect() if r["doc_id"] in real]
+    assert len(told) > 100 and np.mean(told) >= 0.98
 
 
 def test_bpe(docs, rows, none):
@@ -309,14 +384,30 @@ def test_tokenizer_shortcut():
 
 def test_repair():
     rng = np.random.default_rng(1)
-    for n, kinds in ((0, 5), (1, 5), (5000, 3), (20000, 50)):
+    for n, kinds in ((0, 5), (1, 5), (5000, 3), (20000, 50), (30000, 3000)):
         ids = rng.integers(0, kinds, n).astype(np.uint32)
-        seq, rules = token_files.repair(ids, rounds=8, least=4)
+        seq, rules = token_files.repair(ids)
         assert (token_files.expanded(seq, rules) == ids).all()
         lengths = token_files.rule_lengths(rules)
-        assert int(np.where(seq >= token_files.FIRST_RULE, lengths[np.maximum(seq.astype(np.int64) - token_files.FIRST_RULE, 0)] if len(lengths) else 1, 1).sum()) == n
-        if n > 4000:
-            assert len(seq) < n
+        assert int(token_files.expansion_lengths(seq, lengths).sum()) == n
+        left = Counter((a, b) for a, b in zip(seq[:-1].tolist(), seq[1:].tolist(), strict=True) if token_files.END not in (a, b))
+        assert not left or max(left.values()) < token_files.LEAST_COUNT  # until no frequent pair is left
+        if n > 4000 and kinds < 100:
+            assert len(seq) + 2 * len(rules) < n
+
+
+def test_read_document():
+    """Random access to whole documents and parts of them, over several frames and with the end id inside texts."""
+    rng = np.random.default_rng(2)
+    texts = [rng.integers(1 if i % 2 else 2, 9 if i % 3 else 30_000, n).astype(np.uint32) for i, n in enumerate((0, 1, 90_000, 3, 120_000, 0, 77))]
+    names = [c.split()[0] for c in token_files.SHARD.split(", ")]
+    shard = dict(zip(names, token_files._shard(0, 0, list(range(len(texts))), texts), strict=True))
+    assert len(np.frombuffer(shard["frames"], np.int64)) > 3
+    for i, x in enumerate(texts):
+        whole = [*x.tolist(), token_files.END]
+        assert token_files.read_document(shard, i).tolist() == whole
+        for first, last in ((0, 1), (5, 40), (len(x) // 2, len(x) // 2 + 7), (len(x), None), (10**6, None)):
+            assert token_files.read_document(shard, i, first, last).tolist() == whole[first:last]
 
 
 def test_toxicity(spark, docs, rows, none):

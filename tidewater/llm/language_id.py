@@ -4,12 +4,14 @@ A known word adds its log frequency in each language. An unseen word backs off t
 n-grams of the longest order (of MAX_GRAM down to 1) of which any is known, and adds their mean. The
 language with the largest sum is predicted; the score is its share under a softmax.
 
-Fitted on at most MAX_FIT_ROWS rows with a language, chosen by a hash of the identifier; of their words
-and n-grams the TOP most frequent ones of each language and order are kept, so the broadcast model is
-bounded by the number of languages. All documents are scored, over their whole texts.
-
-Defined results: a null text, one without letters, or a model without languages gives ``und`` with
-score 0; ties go to the language that sorts first; repeated rows each get their result.
+Fitted on at most FIT_ROWS rows of each language, chosen by a hash of the identifier, so a rare language
+keeps all its rows; every word and n-gram of these rows is in the model, whose size that bound and the
+number of languages limit. A word is a run of letters (category L) of the lower-cased text, in the fit
+and in prediction. All documents are scored, over their whole texts.
+
+Defined results: a null text, one without letters (numerals such as one half or roman twelve are none),
+or a model without languages gives ``und`` with score 0; ties go to the language that sorts first;
+repeated rows each get their result; a null identifier counts as an empty text in the fold and the sample.
 """
 
 from __future__ import annotations
@@ -19,52 +21,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, stored, within_bound
+from .common import crc_fold, stored
 
-MAX_FIT_ROWS = 12_000
-TOP = 20_000
+#: Labelled rows of a language that the model is fitted on, about.
+FIT_ROWS = 1_000
 MAX_GRAM = 4
-#: Words whose sums a task keeps.
-KEPT_WORDS = 200_000
+#: Unseen words whose sums a task keeps.
+KEPT_WORDS = 100_000
+#: A document of the pipeline stays if its language has so much of the score.
+LEAST_SCORE = 0.5
 UNKNOWN = "und"
-LETTERS = re.compile(r"[^\W\d_]+")
-#: Java's letters and marks; the same runs as LETTERS but for a few numerals, which no model needs.
+LETTERS = regex.compile(r"\p{L}+")
+#: The same runs of lower-cased texts of code points up to U+00FF, class written out.
+_NARROW = re.compile(r"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+_WIDE = re.compile(r"[^\x00-\xff]")
 LETTERS_SQL = r"(\p{L}+)"
 
 
-def fit(rows: DataFrame, max_rows: int = MAX_FIT_ROWS, top: int = TOP) -> dict:
-    """The model from rows of text and lang: languages, and log frequencies of words and n-grams by order."""
+def letter_runs(text: str) -> list[str]:
+    """The words of a text."""
+    low = text.lower()
+    return (LETTERS if _WIDE.search(low) else _NARROW).findall(low)
+
+
+def sampled(rows: DataFrame, a_language: int = FIT_ROWS) -> tuple[DataFrame, list[str]]:
+    """About so many rows of each language, all of a language with fewer; and the languages in order."""
     rows = rows.filter(F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rows = rows.filter(within_bound(rows, F.col("doc_id"), max_rows))
+    total = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    langs = sorted(total)
+    of = F.create_map(*[F.lit(x) for lang in langs for x in (lang, total[lang])]) if langs else F.create_map(F.lit(""), F.lit(1))
+    of = F.get(F.map_values(F.map_filter(of, lambda lang, n: lang == F.col("lang"))), F.lit(0)).cast("long")
+    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), of) < a_language), langs
+
+
+def _grams(padded: Column, k: int) -> Column:
+    """k and g of every n-gram of k characters. (A lambda with a default would be given the index as its second argument.)"""
+    starts = F.when(F.length(padded) >= k, F.sequence(F.lit(1), F.length(padded) - k + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(F.lit(k).alias("k"), F.substring(padded, i, F.lit(k)).alias("g")))
+
+
+def fit(rows: DataFrame, a_language: int = FIT_ROWS) -> dict:
+    """The model from rows of text and lang: languages, and log frequencies of words and n-grams by order."""
+    rows, langs = sampled(rows.select("doc_id", "text", "lang"), a_language)
     words = rows.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(LETTERS_SQL), F.lit(1))).alias("g")).groupBy("lang", "g").agg(F.count(F.lit(1)).alias("n"))
     words = stored(words, "language-words")
-    padded = F.concat(F.lit("<"), F.col("g"), F.lit(">"))
-    tables = [words.select("lang", F.lit(0).alias("order"), "g", "n")]
-    for order in range(1, MAX_GRAM + 1):
-        at = F.when(F.length(padded) >= order, F.sequence(F.lit(1), F.length(padded) - order + 1)).otherwise(F.array().cast("array<int>"))
-        grams = words.select("lang", "n", F.explode(F.transform(at, lambda i, k=order: F.substring(padded, i, F.lit(k)))).alias("g"))
-        tables.append(grams.groupBy("lang", "g").agg(F.sum("n").alias("n")).select("lang", F.lit(order).alias("order"), "g", "n"))
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    cut = F.flatten(F.array(*[_grams(F.concat(F.lit("<"), F.col("g"), F.lit(">")), k) for k in range(1, MAX_GRAM + 1)]))
+    grams = words.select("lang", "n", F.explode(cut).alias("x")).groupBy("lang", "x.k", "x.g").agg(F.sum("n").alias("n"))
+    table = words.select("lang", F.lit(0).alias("k"), "g", "n").unionByName(grams).toArrow()
+    number = {lang: i for i, lang in enumerate(langs)}
+    order, count = table.column("k").to_numpy(), table.column("n").to_numpy()
+    at = np.array([number[x] for x in table.column("lang").to_pylist()], np.int64)
     index: list[dict[str, int]] = []
     parts = []
-    for order, table in enumerate(tables):
-        total = {r["lang"]: r["n"] for r in table.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    for k in range(MAX_GRAM + 1):
+        use = np.flatnonzero(order == k)
         known: dict[str, int] = {}
-        counts = []
-        for at, lang in enumerate(langs):
-            for r in table.filter(F.col("lang") == lang).orderBy(F.col("n").desc(), "g").limit(top).collect():
-                counts.append((known.setdefault(r["g"], len(known)), at, r["n"]))
+        which = np.array([known.setdefault(g, len(known)) for g in table.column("g").take(use).to_pylist()], np.int64)
         matrix = np.zeros((len(known), len(langs)))
-        if counts:
-            g, at, n = np.array(counts).T
-            matrix[g, at] = n
-        sizes = np.array([total.get(x, 0) for x in langs], float)
-        parts.append(np.log((matrix + 0.5) / (sizes + 0.5 * (len(known) + 1))))
+        np.add.at(matrix, (which, at[use]), count[use])
+        parts.append(np.log((matrix + 0.5) / (matrix.sum(0) + 0.5 * (len(known) + 1))).astype(np.float32))
         index.append(known)
-    return {"langs": langs, "index": index, "rows": [x.astype(np.float32) for x in parts]}
+    return {"langs": langs, "index": index, "rows": parts}
 
 
 def word_evidence(word: str, model: dict) -> np.ndarray:
@@ -82,11 +103,12 @@ def word_evidence(word: str, model: dict) -> np.ndarray:
 
 
 class Seen:
-    """What the words met so far add, for at most KEPT_WORDS words."""
+    """What words add: the model's words, and at most KEPT_WORDS unseen ones that were met."""
 
     def __init__(self, model: dict):
-        self.model, self.at = model, {}
-        self.rows = np.zeros((KEPT_WORDS, len(model["langs"])), np.float32)
+        known = model["rows"][0]
+        self.model, self.at, self.full = model, dict(model["index"][0]), len(known) + KEPT_WORDS
+        self.rows = np.concatenate([known, np.zeros((KEPT_WORDS, known.shape[1]), np.float32)])
 
     def total(self, words: list[str]) -> np.ndarray:
         found = list(map(self.at.get, words))
@@ -97,7 +119,7 @@ class Seen:
                     found[i] = n
                 elif found[i] is None:
                     evidence = word_evidence(w, self.model)
-                    if len(self.at) < KEPT_WORDS:
+                    if len(self.at) < self.full:
                         n = self.at[w] = found[i] = len(self.at)
                         self.rows[n] = evidence
                     else:
@@ -107,7 +129,7 @@ class Seen:
 
 
 def predict(text: str | None, seen: Seen) -> tuple[str, float]:
-    words = LETTERS.findall(text.lower()) if text else []
+    words = letter_runs(text) if text else []
     langs = seen.model["langs"]
     if not words or not langs:
         return UNKNOWN, 0.0
@@ -138,12 +160,18 @@ def training_rows(docs: DataFrame, folds: int = 4, held: int = 2) -> DataFrame:
 
 
 def language_report(docs: DataFrame) -> DataFrame:
-    model = fit(training_rows(docs).select("doc_id", "text", "lang"))
+    model = fit(training_rows(docs))
     held: Column = crc_fold(F.col("row.doc_id"), 4) == 2
     return predicted(docs.select("doc_id", "text"), model, ["doc_id"]).select("row.doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
-def with_language(docs: DataFrame) -> DataFrame:
-    """The documents whose language can be told, with their own columns; texts without letters go."""
-    model = fit(training_rows(docs).select("doc_id", "text", "lang"))
-    return predicted(docs, model, docs.columns).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+def with_language(docs: DataFrame, keep: list[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The documents, with their own columns, whose predicted language is one of ``keep`` (None: any learned one).
+
+    Texts without letters go, and those of which no language has the share ``least`` of the score.
+    """
+    model = fit(training_rows(docs))
+    wanted = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    if keep is not None:
+        wanted &= F.col("lang_pred").isin(keep)
+    return predicted(docs, model, docs.columns).filter(wanted).select("row.*")
