@@ -1,15 +1,18 @@
 """Token-ID output in files of Re-Pair compressed shards.
 
 Documents are dealt to ranges of ascending identifiers, encoded in that order, and cut into shards of
-about SHARD_IDS ids. In each shard the frequent pairs of neighbouring ids are replaced by nonterminals,
-round after round; a pair never reaches over a document's end. A shard stores its rules, the expansion
-length of every nonterminal and where each document begins in the compressed sequence, so a document
-is decoded without the ones before it. A shard is one row of a Parquet table, so the files can lie in
-any store and are written by Spark's commit protocol.
+about SHARD_IDS ids. In each shard the frequent pairs of neighbouring ids (LEAST_COUNT of them or more)
+are replaced by nonterminals, round after round until no frequent pair is left; a pair never reaches over
+a document's end. A round replaces all pairs that are frequent then, of overlapping ones the first. A shard
+stores its rules, the expansion length of every nonterminal and where each document begins in the compressed
+sequence, which is pressed in frames of FRAME symbols, so a document or a part of one is decoded from its
+own frames. A shard is one row of a Parquet table, so the files can lie in any store and are written by
+Spark's commit protocol.
 
 File format, one row a shard: part, seq (order of shards), doc_ids (int64), sizes (ids of each document
 with its end id, int64), rules (pairs of uint32; nonterminal FIRST_RULE + i), lengths (uint32 expansion
-lengths of the rules), begins (int64 places in the sequence), sequence (uint32, pressed by zstd).
+lengths of the rules), begins (int64 places in the sequence), frames (int64 byte offsets of the frames in
+the sequence), sequence (uint32, each frame pressed by zstd).
 
 Defined results: a null text counts as empty and has the end id alone; rows of equal identifiers follow
 in the order of their texts; null identifiers come first; an empty table writes no shard.
@@ -41,13 +44,16 @@ TOKENIZER = "word_bpe_49k.json"
 END = 1
 SHARD_IDS = 1_000_000
 FIRST_RULE = 1 << 16
-ROUNDS, PAIRS_A_ROUND, LEAST_COUNT = 3, 8192, 24
+#: A pair that occurs so often in a shard is frequent; a rule takes the room of three ids.
+LEAST_COUNT = 4
+#: Symbols of the compressed sequence that are pressed together.
+FRAME = 1 << 16
 #: Words whose ids a Python worker keeps, and bytes of text that it encodes at once.
 KEPT_WORDS, GROUP_BYTES = 400_000, 8 << 20
 #: The mark at the end of the last piece of a word.
 WORD_END = "</w>"
 
-SHARD = "part int, seq int, n_ids bigint, doc_ids binary, nulls binary, sizes binary, rules binary, lengths binary, begins binary, sequence binary"
+SHARD = "part int, seq int, n_ids bigint, doc_ids binary, nulls binary, sizes binary, rules binary, lengths binary, begins binary, frames binary, sequence binary"
 
 #: Texts of these code points only are cut into words here: lower-casing and composing them leaves no choice.
 _PLAIN = re.compile(r"[\t-\r -~\xa1-\xffŒœ‐-―‘-‟…€]*")
@@ -145,41 +151,34 @@ def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
             begin, size = i, 0
 
 
-def repair(ids: np.ndarray, rounds: int = ROUNDS, least: int = LEAST_COUNT, most: int = PAIRS_A_ROUND) -> tuple[np.ndarray, np.ndarray]:
-    """The compressed sequence and the rules (pairs), in the order they were made."""
-    seq, rules = ids.astype(np.uint32), np.empty((0, 2), np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+def repair(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
+    """The compressed sequence and the rules (pairs), in the order they were made; no pair is left ``least`` times."""
+    seq, rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)]
+    made = 0
+    while len(seq) > 1:
         one, two = seq[:-1], seq[1:]
+        # pairs counted by slots first: what shares a slot counts together, so no frequent pair is missed
         slot = ((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        pair = one.astype(np.uint64) << np.uint64(32) | two
-        holder = np.zeros(1 << 20, np.uint64)
-        holder[slot] = pair  # of pairs that share a slot one is counted, the others wait for a later round
-        may = (holder[slot] == pair) & (one != END) & (two != END)
-        counts = np.bincount(slot[may], minlength=1 << 20)
-        good = np.flatnonzero(counts >= least)
-        if not len(good):
+        inner = (one != END) & (two != END)
+        at = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << 20)[slot] >= least))
+        pairs, which, count = np.unique(one[at].astype(np.uint64) << np.uint64(32) | two[at], return_inverse=True, return_counts=True)
+        frequent = count >= least
+        if not frequent.any():
             break
-        if len(good) > most:
-            good = np.sort(good[np.argsort(-counts[good], kind="stable")[:most]])
-        chosen = holder[good]
-        rule_of = np.full(1 << 20, -1, np.int32)
-        rule_of[good] = np.arange(len(good), dtype=np.int32)
-        rule = rule_of[slot]
-        at = np.flatnonzero(may & (rule >= 0))
-        rule = rule[at]
+        rule = FIRST_RULE + made - 1 + np.cumsum(frequent)
+        use = frequent[which]
+        at, symbol = at[use], rule[which[use]]
         # of pairs that overlap in a row, every second one from the first on
         new = np.concatenate([[True], at[1:] != at[:-1] + 1])
         use = ((np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) & 1) == 0
-        at, rule = at[use], rule[use]
         seq = seq.copy()
-        seq[at] = FIRST_RULE + len(rules) + rule
+        seq[at[use]] = symbol[use]
         stay = np.ones(len(seq), bool)
-        stay[at + 1] = False
+        stay[at[use] + 1] = False
         seq = seq[stay]
-        rules = np.concatenate([rules, np.stack([chosen >> np.uint64(32), chosen & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32)])
-    return seq, rules
+        rules.append(np.stack([pairs[frequent] >> np.uint64(32), pairs[frequent] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
+        made += int(frequent.sum())
+    return seq, np.concatenate(rules)
 
 
 def rule_lengths(rules: np.ndarray) -> np.ndarray:
@@ -202,6 +201,30 @@ def expanded(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+def pressed(seq: np.ndarray) -> tuple[bytes, bytes]:
+    """A sequence in frames: the byte offsets of the frames (one more than there are), and the frames."""
+    press = zstandard.ZstdCompressor(level=1)
+    frames = [press.compress(seq[at : at + FRAME].tobytes()) for at in range(0, len(seq), FRAME)]
+    return bounds(np.array([len(f) for f in frames], np.int64)).astype(np.int64).tobytes(), b"".join(frames)
+
+
+def symbols(shard: dict, begin: int, end: int) -> np.ndarray:
+    """A part of a shard's sequence; only the frames that hold it are unpressed."""
+    if begin >= end:
+        return np.empty(0, np.uint32)
+    press, frames = zstandard.ZstdDecompressor(), np.frombuffer(shard["frames"], np.int64)
+    first, last = begin // FRAME, (end - 1) // FRAME
+    told = [np.frombuffer(press.decompress(shard["sequence"][frames[i] : frames[i + 1]]), np.uint32) for i in range(first, last + 1)]
+    return np.concatenate(told)[begin - first * FRAME : end - first * FRAME]
+
+
+def expansion_lengths(seq: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids that each symbol stands for."""
+    each, deep = np.ones(len(seq), np.int64), seq >= FIRST_RULE
+    each[deep] = lengths[seq[deep] - FIRST_RULE]
+    return each
+
+
 def _shard(part: int, seq: int, docs: list, ids: list[np.ndarray]) -> tuple:
     sizes = np.array([len(x) + 1 for x in ids], np.int64)
     last = np.cumsum(sizes) - 1
@@ -213,14 +236,10 @@ def _shard(part: int, seq: int, docs: list, ids: list[np.ndarray]) -> tuple:
     lengths = rule_lengths(rules)
     ends = np.flatnonzero(short == END)
     if len(ends) != len(ids):  # an id within a text equals the end id: find the ends by expansion lengths
-        each = np.ones(len(short), np.int64)
-        deep = short >= FIRST_RULE
-        each[deep] = lengths[short[deep] - FIRST_RULE]
-        ends = np.searchsorted(np.cumsum(each), last + 1)
+        ends = np.searchsorted(np.cumsum(expansion_lengths(short, lengths)), last + 1)
     begins = np.concatenate([[0], ends + 1]).astype(np.int64)
     nulls = bytes(d is None for d in docs)
-    press = zstandard.ZstdCompressor(level=1)
-    return (part, seq, int(sizes.sum()), np.array([d or 0 for d in docs], np.int64).tobytes(), nulls, sizes.tobytes(), rules.tobytes(), lengths.tobytes(), begins.tobytes(), press.compress(short.tobytes()))
+    return (part, seq, int(sizes.sum()), np.array([d or 0 for d in docs], np.int64).tobytes(), nulls, sizes.tobytes(), rules.tobytes(), lengths.tobytes(), begins.tobytes(), *pressed(short))
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -263,13 +282,12 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
     places = sums.join(before, "part").select("part", "seq", (F.col("part_start") + F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("shard_start"))
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdDecompressor()
         for batch in batches:
             for s in batch.to_pylist():
-                seq, rules = np.frombuffer(press.decompress(s["sequence"]), np.uint32), np.frombuffer(s["rules"], np.uint32).reshape(-1, 2)
+                rules = np.frombuffer(s["rules"], np.uint32).reshape(-1, 2)
                 begins, sizes = np.frombuffer(s["begins"], np.int64), np.frombuffer(s["sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
-                n = len(sizes)
+                n, seq = len(sizes), symbols(s, 0, int(begins[-1]))
                 keys = [None if null else k for k, null in zip(np.frombuffer(s["doc_ids"], np.int64).tolist(), s["nulls"], strict=True)]
                 for lo in range(0, n, 1024):
                     hi = min(n, lo + 1024)
@@ -286,11 +304,21 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
     return rows.join(places, ["part", "seq"]).select("doc_id", (F.col("shard_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def read_document(shard: dict, at: int) -> np.ndarray:
-    """The ids of one document of a shard's row, without those before it."""
-    seq = np.frombuffer(zstandard.ZstdDecompressor().decompress(shard["sequence"]), np.uint32)
-    begins = np.frombuffer(shard["begins"], np.int64)
-    return expanded(seq[begins[at] : begins[at + 1]], np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2))
+def read_document(shard: dict, at: int, first: int = 0, last: int | None = None) -> np.ndarray:
+    """The ids of one document of a shard's row, or those from ``first`` up to ``last`` of them.
+
+    Only the document's own frames are unpressed; the expansion lengths tell which of its symbols hold the
+    part, and only those are expanded.
+    """
+    begins, size = np.frombuffer(shard["begins"], np.int64), int(np.frombuffer(shard["sizes"], np.int64)[at])
+    first, last = min(first, size), size if last is None else min(last, size)
+    if first >= last:
+        return np.empty(0, np.uint32)
+    seq, rules = symbols(shard, int(begins[at]), int(begins[at + 1])), np.frombuffer(shard["rules"], np.uint32).reshape(-1, 2)
+    ends = np.cumsum(expansion_lengths(seq, np.frombuffer(shard["lengths"], np.uint32)))
+    lo, hi = np.searchsorted(ends, first, side="right"), np.searchsorted(ends, last, side="left") + 1
+    before = int(ends[lo - 1]) if lo else 0
+    return expanded(seq[lo:hi], rules)[first - before : last - before]
 
 
 def token_file_rows(docs: DataFrame, path: str | None = None) -> DataFrame:
