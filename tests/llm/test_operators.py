@@ -134,6 +134,34 @@ def test_exact_dedup(docs, rows, none, digest):
     assert exact_dedup.exact_dedup_report(none).count() == 0
 
 
+def test_exact_state_over_batches_and_restart(spark, rows, tmp_path):
+    """Three batches, then a second run over more files that goes on from the stored state."""
+    source, target = str(tmp_path / "rows"), str(tmp_path / "state")
+    frame = spark.createDataFrame([(r[0], sha(low(r[1]))) for r in rows], "doc_id bigint, digest string")
+    sizes = Counter(sha(low(r[1])) for r in rows)
+    most = defaultdict(list)
+    for r in rows:
+        most[sha(low(r[1]))].append(r[0])
+    parts = frame.randomSplit([0.6, 0.4], 3)
+    parts[0].repartition(6).write.parquet(source)
+    exact_dedup.update_state(spark, source, frame.schema, target, batches=3)
+    some = Counter(r["digest"] for r in parts[0].collect())
+    assert {r["digest"]: r["group_size"] for r in exact_dedup.state_of(spark, target).collect()} == some
+    parts[1].repartition(4).write.mode("append").parquet(source)
+    exact_dedup.update_state(spark, source, frame.schema, target, batches=2)
+    assert len([x for x in (tmp_path / "state").iterdir() if x.name.startswith("batch=")]) >= 4
+    got = {r["digest"]: (r["group_size"], r["first"]["id"]) for r in exact_dedup.state_of(spark, target).collect()}
+    assert got == {d: (n, max(most[d])) for d, n in sizes.items()}
+
+
+def test_exact_hot_group_and_null_ids(spark):
+    rows = [(i, "Same Text", None, None, 0, "", "") for i in range(400)] + [(None, "same text", None, None, 0, "", ""), (None, "only", None, None, 0, "", ""), (None, None, None, None, 0, "", "")]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    got = exact_dedup.exact_groups(df).collect()
+    assert Counter((r["keep_id"], r["group_size"]) for r in got) == {(399, 401): 401, (None, 1): 2}
+    assert Counter(r["text"] for r in exact_dedup.exact_dedup(df).collect()) == {"Same Text": 1, "only": 1, None: 1}
+
+
 def simhash_of(text):
     words = low(text).encode().split()
     if not words:

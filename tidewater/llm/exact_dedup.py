@@ -1,10 +1,11 @@
 """Exact deduplication over streaming state, in DataFrame functions only.
 
 The rows are stored with a digest of their normalised text (A-Z lower-cased, null as empty). A stream
-over the stored rows keeps keyed state on disk (RocksDB, without expiry): for each digest the largest
-identifier, where its content lies (file and row) and how many rows there are. Where a digest was hit
-more than once, the full bytes are compared; texts that differ in spite of an equal digest become
-groups of their own.
+takes the stored files in BATCHES micro-batches, however many they are, and keeps keyed state on disk
+(RocksDB, without expiry): for each digest the largest identifier, where its content lies (file and row)
+and how many rows there are. On hits, digests met more than once, the full bytes are compared: a filter
+of fixed size lets the rows of hit digests pass and few others, equal texts meet in each task before the
+shuffle, and texts that differ in spite of an equal digest become groups of their own.
 
 Defined results: rows with equal identifiers are separate rows of a group, of which one stays (the
 first by place); a null identifier is smaller than any other; an empty table gives no rows.
@@ -14,10 +15,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ascii_lower, forget, new_path
+from .common import ascii_lower, new_path, stored
 
 #: State on disk; a state partition reserves no disk ahead and uploads what has changed.
 STATE_CONF = {
@@ -25,27 +27,41 @@ STATE_CONF = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
-#: Files of stored rows that one micro-batch takes.
-FILES_PER_BATCH = 100_000
+#: Micro-batches that the stored rows are dealt to.
+BATCHES = 4
+#: The filter of hit digests: 2 ** FILTER_BITS numbers of 64 bits at most, 4 MB.
+FILTER_BITS = 18
+#: Digests with more than one row in so many are hot; there are fewer of them than this number.
+HOT_SHARE = 1_000
+FIRST = "struct<id:bigint,place:struct<file:string,at:bigint>>"
 
 
 def sha256(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
+def _place() -> Column:
+    """Where a stored row lies."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+
+
 def _state(rows: DataFrame, key: list[str]) -> DataFrame:
     place = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("id"), F.col("place"))
     return rows.groupBy(*key).agg(F.max(place).alias("first"), F.count(F.lit(1)).alias("group_size"))
 
 
-def _streamed_state(spark, source: str, schema, target: str) -> DataFrame:
-    """The state of each digest after all stored rows went through the stream."""
+def update_state(spark: SparkSession, source: str, schema: StructType, target: str, batches: int = BATCHES) -> None:
+    """Send the files under ``source`` that no run before has seen through the stream; what changes goes to ``target``.
+
+    Progress and state lie beside the target, so a run that was cut short, or one after more files came, goes on.
+    """
     before = {key: spark.conf.get(key, None) for key in STATE_CONF}
     for key, value in STATE_CONF.items():
         spark.conf.set(key, value)
     try:
-        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES_PER_BATCH).parquet(source)
-        rows = rows.select("doc_id", "digest", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).alias("place"))
+        files = len(spark.read.schema(schema).parquet(source).inputFiles())
+        rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(source)
+        rows = rows.select("doc_id", "digest", _place().alias("place"))
         query = (
             _state(rows, ["digest"])
             .writeStream.outputMode("update")
@@ -58,16 +74,41 @@ def _streamed_state(spark, source: str, schema, target: str) -> DataFrame:
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    first = "struct<id:bigint,place:struct<file:string,at:bigint>>"
+
+
+def state_of(spark: SparkSession, target: str) -> DataFrame:
+    """digest, first (identifier and place of the row that stays), group_size: the newest state of each digest."""
     probe = spark._jvm.org.apache.hadoop.fs.Path(target)
     if not probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):  # no rows, no batch
-        return spark.createDataFrame([], f"digest string, first {first}, group_size bigint")
-    updates = spark.read.schema(f"digest string, first {first}, group_size bigint, batch bigint").parquet(target)
+        return spark.createDataFrame([], f"digest string, first {FIRST}, group_size bigint")
+    updates = spark.read.schema(f"digest string, first {FIRST}, group_size bigint, batch bigint").parquet(target)
     return updates.groupBy("digest").agg(F.max_by("first", "batch").alias("first"), F.max_by("group_size", "batch").alias("group_size"))
 
 
-def exact_groups(docs: DataFrame, carried: list[str] = (), digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """Every row with its group: doc_id, digest, keep_id, group_size, kept, and a struct ``row`` of the carried columns."""
+def _clashes(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """The hit digests that stand for more than one text. rows: digest, norm."""
+    hashed = lambda df: df.withColumn("h", F.xxhash64("digest")).withColumn("at", F.expr(f"shiftrightunsigned(h, {64 - FILTER_BITS})"))
+    hits = hashed(state.filter("group_size > 1").select("digest"))
+    hits = hits.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("bits"))
+    # the filter has 2 ** FILTER_BITS rows of 16 bytes at most; it lets through all hits and few others
+    hit = hashed(rows).join(F.broadcast(hits), "at").filter("shiftrightunsigned(bits, CAST(h & 63 AS INT)) & 1 = 1")
+    seen = hit.groupBy("digest").agg(F.collect_set("norm").alias("texts"))
+    return seen.filter(F.size("texts") > 1).select("digest", F.lit(True).alias("clash"))
+
+
+def _by_digest(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows with their digest's state; the few hot digests are broadcast, so their rows stay where they are."""
+    total = state.agg(F.sum("group_size")).first()[0] or 0
+    hot = F.col("group_size") * HOT_SHARE > total
+    often = state.filter(hot).select(F.col("digest"), F.col("first").alias("hot_first"), F.col("group_size").alias("hot_size"))
+    marked = rows.join(F.broadcast(often), "digest", "left")
+    known = marked.filter("hot_size is not null").withColumnsRenamed({"hot_first": "first", "hot_size": "group_size"})
+    others = marked.filter("hot_size is null").drop("hot_first", "hot_size").join(state.filter(~hot), "digest")
+    return known.unionByName(others)
+
+
+def _stored_groups(docs: DataFrame, carried: list[str], digest: Callable[[Column], Column]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stored rows (doc_id, digest, place, row, norm), the state of their digests, and the clashes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     source = new_path(spark, "exact-rows")
@@ -75,31 +116,27 @@ def exact_groups(docs: DataFrame, carried: list[str] = (), digest: Callable[[Col
     own = "text" in carried  # the text is then stored once
     staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(ascii_lower(text)).alias("digest"), row.alias("row"), *([] if own else [text.alias("text")]))
     staged.write.parquet(source)
-    target = new_path(spark, "exact-state")
-    state = _streamed_state(spark, source, staged.schema, target)
-
-    rows = spark.read.schema(staged.schema).parquet(source)
-    rows = rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
-    if own:
-        rows = rows.withColumn("text", F.coalesce(F.col("row.text"), F.lit("")))
-    # full bytes of the rows of a hit digest: equal ones meet before the shuffle, in each task
-    seen = rows.select("digest", ascii_lower(F.col("text")).alias("text")).groupBy("digest").agg(F.collect_set("text").alias("texts"))
-    clash = seen.filter(F.size("texts") > 1).select("digest").withColumn("clash", F.lit(True))
-    clashing = new_path(spark, "exact-clash")
-    clash.write.parquet(clashing)
-    clash = spark.read.schema("digest string, clash boolean").parquet(clashing)
+    target = new_path(spark, "exact-updates")
+    update_state(spark, source, staged.schema, target)
+    state = stored(state_of(spark, target), "exact-state")
+    rows = spark.read.schema(staged.schema).parquet(source).withColumn("place", _place())
+    rows = rows.withColumn("norm", ascii_lower(F.coalesce(F.col("row.text" if own else "text"), F.lit(""))))
+    return rows, state, stored(_clashes(rows.select("digest", "norm"), state), "exact-clashes")
+
+
+def exact_groups(docs: DataFrame, carried: list[str] = (), digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Every row with its group: doc_id, digest, keep_id, group_size, kept, and a struct ``row`` of the carried columns."""
+    rows, state, clash = _stored_groups(docs, carried, digest)
     cols = ["doc_id", "digest", "place", *(["row"] if carried else [])]
-    has_clash = not clash.isEmpty()
-    if not has_clash:
-        joined = rows.select(*cols).join(state, "digest")
+    if clash.isEmpty():
+        joined = _by_digest(rows.select(*cols), state)
     else:
-        marked = rows.select(*cols, "text").join(clash, "digest", "left")
-        same = marked.filter("clash is null").drop("text", "clash").join(state, "digest")
-        other = marked.filter("clash").withColumn("norm", ascii_lower(F.col("text"))).drop("text", "clash")
+        marked = rows.select(*cols, "norm").join(clash, "digest", "left")
+        other = marked.filter("clash").drop("clash")
+        same = _by_digest(marked.filter("clash is null").drop("norm", "clash"), state)
         joined = same.unionByName(other.join(_state(other, ["digest", "norm"]), ["digest", "norm"]).drop("norm"))
     kept_id = F.when(F.col("first.id") == -(1 << 63), F.lit(None)).otherwise(F.col("first.id"))
-    out = joined.select("doc_id", "digest", kept_id.alias("keep_id"), "group_size", (F.col("place") == F.col("first.place")).alias("kept"), *(["row"] if carried else []))
-    return out
+    return joined.select("doc_id", "digest", kept_id.alias("keep_id"), "group_size", (F.col("place") == F.col("first.place")).alias("kept"), *(["row"] if carried else []))
 
 
 def exact_dedup_report(docs: DataFrame) -> DataFrame:
@@ -109,5 +146,9 @@ def exact_dedup_report(docs: DataFrame) -> DataFrame:
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    return exact_groups(docs, docs.columns).filter("kept").select("row.*")
+    """The documents that stay, with their own columns; rows meet by place, so no group is in one task."""
+    rows, state, clash = _stored_groups(docs, docs.columns, sha256)
+    first = state.join(clash, "digest", "left_anti").select("first.place")
+    if not clash.isEmpty():
+        first = first.unionByName(_state(rows.join(clash, "digest"), ["digest", "norm"]).select("first.place"))
+    return rows.select("place", "row").join(first, "place").select("row.*")
