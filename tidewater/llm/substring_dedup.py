@@ -4,15 +4,20 @@ Every start of a window of the base length is a candidate. At each level the can
 compared over the whole corpus; those that start nowhere else go, and the rest are extended to twice
 the length (at most to the window asked for): a longer window's key is the pair of keys of the two
 shorter ones that cover it, so a start survives to be compared again only if both were repeated. This
-ends at the full length, or when no candidate survives.
+ends at the full length; a block of documents without candidates left sends nothing more.
 
 Candidates travel in packs: a block of documents sends, for each bucket of keys, one row with the keys
-and starts; a window that a block holds several times is sent once, marked as repeated. The width of a
-key is chosen from the number of words, so that keys of different windows hardly ever meet; at the last
-level a key stands for two independent halves of that width.
+and starts; a window that a block holds several times is sent once, marked as repeated. A block's list of
+documents goes with the pack of one bucket, a different one for each block.
+
+Keys stand for words: a key of the base length has ``width`` bytes, chosen from the number of words, and a
+longer one those of all the windows it is put together from (mixed to 16 bytes where they are more). Two
+different windows have one key with a chance of 2 ** (-8 * width) for each base window in which they differ,
+so a wrong removal needs windows that are equal but for one base window: 2 ** -40 for each such pair.
 
 Defined results: a null text has no words; rows are judged one by one, repeated rows too, so two rows
-of one text remove each other's windows; texts shorter than a window lose nothing.
+of one text remove each other's windows; texts shorter than a window lose nothing. Rows are numbered in
+the order of the scan, so docs should be a table as read or stored, which a lost task reads alike.
 """
 
 from __future__ import annotations
@@ -32,6 +37,8 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WINDOW = 35
+#: The shortest windows that are compared have so many words, or up to twice as many.
+BASE = 9
 #: Words of a block (the documents that one row of packs stands for) and of a bucket, about.
 BLOCK_WORDS, BUCKET_WORDS = 1_000_000, 3_000_000
 
@@ -39,9 +46,9 @@ PACK = "block bigint, bucket int, width int, keys binary, starts binary, many bi
 
 
 def levels(window: int) -> list[int]:
-    """Window lengths, each at most twice the one before it, up to the window: halves of it until 16 or less."""
+    """Window lengths, each at most twice the one before it, up to the window: halves of it down to BASE or more."""
     out = [window]
-    while out[0] > 24:
+    while (out[0] + 1) // 2 >= BASE:
         out.insert(0, (out[0] + 1) // 2)
     return out
 
@@ -106,23 +113,28 @@ def _by_first_start(keys: np.ndarray, starts: np.ndarray, first: np.ndarray) ->
     return keys[at], _pressed(starts[at]), b""
 
 
+def _home(block: int, n_buckets: int) -> int:
+    """The bucket whose pack takes a block's documents along."""
+    return ((block >> 32) * 31 + (block & 0xFFFFFFFF)) % n_buckets
+
+
 def _packs(block: int, keys: np.ndarray, starts: np.ndarray, n_buckets: int, width: int, docs: bytes) -> pa.RecordBatch:
     """One row a bucket: distinct keys of the block with a start each, then what starts share a key."""
     bucket = (keys >> np.uint64(40)) % np.uint64(n_buckets) if width <= 5 else (keys[:] >> np.uint64(20)) % np.uint64(n_buckets)
     order = np.lexsort((starts, keys, bucket))
     keys, starts, bucket = keys[order], starts[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
-    rows = []
+    rows, home = [], _home(block, n_buckets)
     for b in range(n_buckets):
         lo, hi = cuts[b], cuts[b + 1]
-        if lo == hi and not (b == 0 and docs):
+        if lo == hi and b != home:
             continue
         k = keys[lo:hi]
         first = np.ones(len(k), bool)
         first[1:] = k[1:] != k[:-1]
         kinds, at, many = _by_first_start(k, starts[lo:hi], first)
         packed = np.ascontiguousarray(kinds.view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
-        rows.append((block, b, width, packed, at, many, docs if b == 0 else b""))
+        rows.append((block, b, width, packed, at, many, docs if b == home else b""))
     names = [c.split()[0] for c in PACK.split(", ")]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds], names=names)
@@ -214,10 +226,12 @@ def _extended(length: int, longer: int, n_buckets: int):
 
     def made(group: pd.DataFrame) -> pd.DataFrame:
         docs, keys, starts = _block(group)
+        if not len(starts):
+            return pd.DataFrame([], columns=[c.split()[0] for c in PACK.split(", ")])
         width = keys.shape[1]
         end_of = np.cumsum(docs[1])
         at = np.searchsorted(starts, starts + (longer - length))
-        has = (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == starts + (longer - length)) if len(starts) else np.empty(0, bool)
+        has = (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == starts + (longer - length))
         doc = np.searchsorted(end_of, starts, side="right")
         has &= starts + longer <= end_of[np.minimum(doc, len(end_of) - 1)]
         one, two = keys[has], keys[at[has]]
@@ -242,14 +256,15 @@ def _extended(length: int, longer: int, n_buckets: int):
         pair, s, bucket, lanes = pair[order], s[order], bucket[order], lanes[order]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
         block, rows = int(group["block"].iloc[0]), []
+        home = _home(block, n_buckets)
         for b in range(n_buckets):
             lo, hi = cuts[b], cuts[b + 1]
-            if lo == hi and b:
+            if lo == hi and b != home:
                 continue
             first = np.ones(hi - lo, bool)
             first[1:] = (lanes[lo + 1 : hi] != lanes[lo : hi - 1]).any(1)
             kinds, at_, many = _by_first_start(pair[lo:hi], s[lo:hi], first)
-            rows.append((block, b, pair.shape[1], np.ascontiguousarray(kinds).tobytes(), at_, many, docs.tobytes() if b == 0 else b""))
+            rows.append((block, b, pair.shape[1], np.ascontiguousarray(kinds).tobytes(), at_, many, docs.tobytes() if b == home else b""))
 
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACK.split(", ")])
 
@@ -291,7 +306,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, n_words: int | None
     steps = levels(window)
     packs = keyed.select("rid", "text").mapInArrow(_candidates(steps[0], n_buckets, width), PACK)
     for length, longer in zip(steps, [*steps[1:], None], strict=True):
-        survived = packs.repartition(n_buckets, "bucket").groupBy("bucket").applyInPandas(_repeated, PACK)
+        survived = packs.repartitionById(n_buckets, F.col("bucket")).groupBy("bucket").applyInPandas(_repeated, PACK)
         by_block = survived.groupBy("block")
         if longer is None:
             return by_block.applyInPandas(_covered(window), "rid bigint, ranges binary")
