@@ -194,11 +194,39 @@ def test_simhash(spark, docs, rows, none):
     for i, x in fp:
         least[of[x]] = min(i, least.get(of[x], i))
     assert out(simhash.near_dup_report(docs)) == sorted([(i, f"{x:016x}", least[of[x]]) for i, x in fp], key=repr)
-    assert simhash.near_dedup(docs).count() == len(least)
     assert simhash.near_dup_report(none).count() == 0
-
-
-def test_simhash_links_lose_nothing(spark):
+    nameless = spark.createDataFrame([(None, "a b c d e"), (None, None), (4, "A b c d e"), (4, "")], "doc_id bigint, text string")
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_dup_report(nameless).collect()) == [(0, 4), (0, 4), (4, 4), (4, 4)]
+
+
+def shingles(text, n=5):
+    words = low(text).split()
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} or {tuple(words)}
+
+
+def test_near_dedup(spark, docs, none):
+    """Texts with 0.9 of their shingles in common meet, those with less than a half do not."""
+    rng = random.Random(8)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 5000}"
+    texts = [[word() for _ in range(rng.randrange(60, 400))] for _ in range(120)]
+    copies = [list(t) for t in texts[:60]]
+    for t in copies:
+        for _ in range(max(1, len(t) // 120)):
+            t[rng.randrange(len(t))] = "changed"
+    half = [t[: len(t) // 3] + [word() for _ in range(len(t))] for t in texts[60:90]]
+    all_texts = [" ".join(t) for t in texts + copies + half]
+    df = spark.createDataFrame([(i, t, "en", None, 0, "r", "d") for i, t in enumerate(all_texts)] + [(900, None, None, None, 0, "", ""), (901, "", None, None, 0, "", "")], SCHEMA)
+    stay = {r["doc_id"] for r in simhash.near_dedup(df).collect()}
+    near = [i for i in range(60) if len(a := shingles(all_texts[i]) & shingles(all_texts[120 + i])) >= 0.85 * len(shingles(all_texts[i]) | shingles(all_texts[120 + i])) and a]
+    assert len(near) > 40 and sum(120 + i not in stay for i in near) >= 0.9 * len(near)
+    assert set(range(120)) <= stay and set(range(180, 210)) <= stay and {900, 901} & stay == {900}
+    assert simhash.near_dedup(docs).columns == docs.columns
+    assert simhash.near_dedup(none).count() == 0
+
+
+@pytest.mark.parametrize("run", [simhash.RUN, 12])
+@pytest.mark.parametrize("most", [2, 4, 5])
+def test_simhash_links_lose_nothing(spark, run, most):
     rng = random.Random(5)
     base = [rng.getrandbits(64) for _ in range(12)] + [0, (1 << 64) - 1]
     prints = set(base)
@@ -208,10 +236,13 @@ def test_simhash_links_lose_nothing(spark):
             for b in rng.sample(range(64), rng.randrange(1, 7)):
                 y ^= 1 << b
             prints.add(y)
+    prints |= {rng.getrandbits(42) | 5 << 42 for _ in range(40)}  # one segment in common, far apart else
+    with pytest.raises(ValueError):
+        simhash.links(None, 6)
     signed = [(x - (1 << 64) if x >> 63 else x,) for x in prints]
     df = spark.createDataFrame(signed, "fp bigint")
-    got = {r["node"] & ((1 << 64) - 1): r["root"] & ((1 << 64) - 1) for r in simhash.components(simhash.links(df)).collect()}
-    want = classes(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    got = {r["node"] & ((1 << 64) - 1): r["root"] & ((1 << 64) - 1) for r in simhash.components(simhash.links(df, most, run)).collect()}
+    want = classes(prints, lambda a, b: (a ^ b).bit_count() <= most)
     for a in prints:
         for b in prints:
             assert (want[a] == want[b]) == (got.get(a, a) == got.get(b, b) if a != b else True)

@@ -58,7 +58,7 @@ def split_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
+def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
@@ -87,7 +87,7 @@ def window_keys(hashes: np.ndarray, length: int) -> np.ndarray:
                 run = run[: len(run) - span] * power + run[span:]
                 power = power * power
                 span *= 2
-        return _mix(key)
+        return mixed(key)
 
 
 def _pressed(numbers: np.ndarray) -> bytes:
@@ -245,13 +245,13 @@ def _extended(length: int, longer: int, n_buckets: int):
             second[:, :width] = two
             a, c = wide.view("<u8"), second.view("<u8")
             with np.errstate(over="ignore"):
-                pair = np.stack([_mix(a[:, 0] * np.uint64(3) + _mix(c[:, 0])) ^ a[:, 1], _mix(c[:, 0] * np.uint64(5) + _mix(a[:, 0])) ^ c[:, 1]], 1).view(np.uint8).reshape(-1, 16)
+                pair = np.stack([mixed(a[:, 0] * np.uint64(3) + mixed(c[:, 0])) ^ a[:, 1], mixed(c[:, 0] * np.uint64(5) + mixed(a[:, 0])) ^ c[:, 1]], 1).view(np.uint8).reshape(-1, 16)
         s = starts[has]
         whole = np.zeros((len(pair), 16), np.uint8)
         whole[:, : pair.shape[1]] = pair
         lanes = whole.view("<u8").reshape(-1, 2)
         with np.errstate(over="ignore"):
-            bucket = _mix(lanes[:, 0] + _mix(lanes[:, 1] + np.uint64(1))) % np.uint64(n_buckets)
+            bucket = mixed(lanes[:, 0] + mixed(lanes[:, 1] + np.uint64(1))) % np.uint64(n_buckets)
         order = np.lexsort((s, lanes[:, 0], lanes[:, 1], bucket))
         pair, s, bucket, lanes = pair[order], s[order], bucket[order], lanes[order]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
