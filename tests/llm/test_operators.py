@@ -489,6 +489,47 @@ def test_toxicity(spark, docs, rows, none):
     assert {r["score"] for r in toxicity.toxicity_report(docs, marked.limit(0)).collect()} < {x / 1e9 for x in range(2)} | {r["score"] for r in toxicity.toxicity_report(docs, marked.limit(0)).limit(1).collect()} | {0.0}
 
 
+def test_toxicity_scores_against_brute_force():
+    """Every score from its definition: windows of 12 words, a word the mean of its n-grams' and its own entries."""
+    rng = random.Random(7)
+    table = np.random.default_rng(3).normal(size=toxicity.BUCKETS)
+    model = {"table": table, "bias": 0.3, "scale": 2.0, "shift": -0.5}
+
+    def entries(word):
+        starts, found = toxicity.words_and_grams(word)
+        assert len(starts) == 1
+        raw = b" " + toxicity.plain(word) + b" "
+        assert sum(len(bucket) for _, bucket in found) == 1 + sum(max(0, len(raw) - k + 1) for k in toxicity.GRAMS)
+        return np.concatenate([table[bucket] for _, bucket in found]).mean()
+
+    for n in (1, 5, 11, 12, 13, 25, 80):
+        words = [rng.choice(["garden", "Élan", "x1", "idiot", "a", "numbskull", "id1ot"]) for _ in range(n)]
+        means = [entries(w) for w in words]
+        logit = max(np.mean(means[a : a + 12]) for a in range(0, max(1, n - 6), 6)) + 0.3
+        assert toxicity.score_text(" , ".join(words), model) == pytest.approx(1 / (1 + np.exp(-(2.0 * logit - 0.5))), abs=1e-9)
+    assert len(set(toxicity.words_and_grams("idiot")[1][0][1]) & set(toxicity.words_and_grams("idiott")[1][0][1])) >= 4
+
+
+def test_toxicity_held_out(spark):
+    from pathlib import Path
+
+    folder = Path("/root/testdata/sf0.1")
+    if not folder.exists():
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(str(folder / f"{x}.parquet")) for x in ("documents", "labels"))
+    rows = toxicity.toxicity_report(docs, labels).filter("held_out").join(labels.filter("toxic is not null"), "doc_id").select("toxic", "predicted").collect()
+    caught = sum(r["toxic"] and r["predicted"] for r in rows)
+    assert caught >= 0.7 * sum(r["toxic"] for r in rows) and caught >= 0.75 * sum(r["predicted"] for r in rows)
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(i, "word " * 200) for i in range(400)] + [(None, "idiot"), (None, None)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(400)], "doc_id bigint, quality int, toxic int")
+    assert 0 < toxicity.sampled(docs, labels, max_rows=100).count() < 160
+    assert 0 < toxicity.sampled(docs, labels, max_bytes=60_000).count() < 110
+    assert toxicity.sampled(docs, labels, folds=1, held=9).count() == 400
+
+
 def test_toxicity_fit_sees_all_windows():
     rng = random.Random(5)
     texts = [" ".join(rng.choice(["garden", "Élan", "x1", "idiot", "b,c"]) for _ in range(n)) for n in (2000, 0, 1, 11, 12, 13, 18, 19, 500)]

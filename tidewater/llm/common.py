@@ -20,13 +20,15 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from spark.checkpoint.dir.
 
-    Where the session has none (local tests), a temporary folder is made and set.
+    Where the session has none, the folder that setCheckpointDir named is taken; a local session (tests) gets a
+    temporary one, and any other is refused, because its executors would not see the driver's folders.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
-        context = spark.sparkContext
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidewater-"))
         found = context.getCheckpointDir()
     return found.rstrip("/")
 
@@ -80,12 +82,3 @@ def ascii_lower(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the identifier's decimal text modulo folds; a null identifier counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
-
-
-def within_bound(rows: DataFrame, key: Column, bound: int) -> Column:
-    """A condition that holds for about ``bound`` rows of a table at most, chosen by a hash of the key.
-
-    One count over the table sets the share; tables of up to ``bound`` rows are kept whole.
-    """
-    total = rows.count()
-    return F.lit(True) if total <= bound else F.pmod(F.xxhash64(key, F.lit(7)), F.lit(total)) < bound

@@ -6,9 +6,10 @@ is the mean of its words' means; a softmax over two classes reads it. A text sco
 window, so a long text does not dilute a short insult, and a misspelt word shares most n-grams with the
 word it stands for. All windows of a text are scored.
 
-Fitted on at most MAX_FIT_ROWS labelled rows (chosen by a hash of the identifier) and all windows of each;
-texts are kept as word numbers, from which a mini-batch is built when its turn comes. Each half of the texts teaches a first model that looks through the other half; windows of
-toxic texts that it finds clean are left out of the final fit.
+Fitted on a sample of labelled rows, chosen by a hash of the identifier: about MAX_FIT_ROWS of them and about
+MAX_FIT_BYTES of text at most, whole texts and all windows of each. Texts are kept as word numbers, from
+which a mini-batch is built when its turn comes. Each half of the texts teaches a first model that looks
+through the other half; windows of toxic texts that it finds clean are left out of the final fit.
 
 Defined results: a null text counts as empty; a text without words has the score of no evidence, the
 calibrated bias; without labelled rows of both classes every score is 0; repeated rows each get theirs.
@@ -25,12 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_fold, within_bound
+from .common import crc_fold
 
-MAX_FIT_ROWS = 6_000
+#: Labelled rows, and bytes of their texts, that the model is fitted on, about.
+MAX_FIT_ROWS, MAX_FIT_BYTES = 6_000, 24 << 20
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 18
-DIM = 8
+DIM, EPOCHS = 4, 6
 WINDOW, STRIDE = 12, 6
 #: Bytes that numpy looks at together.
 SLICE = 1 << 20
@@ -219,7 +221,7 @@ def _fit_windows(y, sample: Sample, chosen: np.ndarray, rng, epochs: int, rate:
     return (E @ (W[:, 1] - W[:, 0])).astype(np.float64), float(b[1] - b[0])
 
 
-def train(texts: list[str], labels: list[int], seed: int = 1, epochs: int = 8) -> dict:
+def train(texts: list[str], labels: list[int], seed: int = 1, epochs: int = EPOCHS) -> dict:
     """The model as one number a bucket, a bias, and the calibration of a text's logit."""
     y = np.array(labels, np.int64)
     none = {"table": np.zeros(BUCKETS, np.float32), "bias": 0.0, "scale": 0.0, "shift": -50.0}
@@ -268,10 +270,17 @@ def scored(df: DataFrame, model: dict, carried: list[str]) -> DataFrame:
     return rows.mapInArrow(score, f"row {rows.schema['row'].dataType.simpleString()}, score double")
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_FIT_ROWS) -> dict:
+def sampled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> DataFrame:
+    """doc_id, text, toxic of the rows to learn from."""
     known = labels.filter(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    known = known.filter(within_bound(known, F.col("doc_id"), max_rows))
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # known is bounded by max_rows
+    sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(known, "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
+    share = min(1.0, max_rows / max(1, sizes["rows"]), max_bytes / max(1, sizes["bytes"] or 0))
+    known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # known is bounded by max_rows
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> dict:
+    rows = sampled(docs, labels)
 
     def trained(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc_id", "text"], na_position="first")
