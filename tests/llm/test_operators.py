@@ -419,6 +419,20 @@ def test_substring(docs, rows, none):
     assert substring_dedup.substring_report(none).count() == 0
 
 
+@pytest.mark.parametrize("window", [1, 5, 9, 12, 35, 80])
+def test_substring_levels_and_blocks(docs, rows, window, monkeypatch):
+    """Other windows, with one to four levels, and documents dealt to many blocks."""
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 200)
+    texts = [(r[1] or "").encode().split() for r in rows]
+    count = Counter(tuple(t[i : i + window]) for t in texts for i in range(len(t) - window + 1))
+    want = []
+    for r, t in zip(rows, texts, strict=True):
+        gone = {j for i in range(len(t) - window + 1) if count[tuple(t[i : i + window])] > 1 for j in range(i, i + window)}
+        want.append((r[0], len(t), len(gone)))
+    got = substring_dedup.substring_dedup(docs.select("doc_id", "text"), ["doc_id"], window).select("row.doc_id", "n_words", "n_removed")
+    assert out(got) == sorted(want, key=repr)
+
+
 def test_token_files(spark, docs, rows, none, tmp_path):
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     at, want = 0, []

@@ -82,3 +82,23 @@ def ascii_lower(text: Column) -> Column:
 def crc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the identifier's decimal text modulo folds; a null identifier counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
+
+
+#: A filter of hashes has 2 ** FILTER_BITS numbers of 64 bits at most, 4 MB.
+FILTER_BITS = 18
+
+
+def _slot() -> Column:
+    return F.expr(f"shiftrightunsigned(h, {64 - FILTER_BITS})")
+
+
+def hash_filter(keys: DataFrame, name: str) -> DataFrame:
+    """at, bits: which hashes the named column has, in a table of bounded size."""
+    hashed = keys.select(F.xxhash64(name).alias("h")).withColumn("at", _slot())
+    return hashed.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("bits"))
+
+
+def marked_by(rows: DataFrame, name: str, filter_: DataFrame) -> DataFrame:
+    """rows with ``may``: false only if the filter has not the named column's value. The filter is broadcast; its size is bounded."""
+    hashed = rows.withColumn("h", F.xxhash64(name)).withColumn("at", _slot()).join(F.broadcast(filter_), "at", "left")
+    return hashed.withColumn("may", F.expr("coalesce(shiftrightunsigned(bits, CAST(h & 63 AS INT)) & 1, 0) = 1")).drop("h", "at", "bits")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import ascii_lower, new_path, stored
+from .common import ascii_lower, hash_filter, marked_by, new_path, stored
 
 #: State on disk; a state partition reserves no disk ahead and uploads what has changed.
 STATE_CONF = {
@@ -29,8 +29,6 @@ STATE_CONF = {
 }
 #: Micro-batches that the stored rows are dealt to.
 BATCHES = 4
-#: The filter of hit digests: 2 ** FILTER_BITS numbers of 64 bits at most, 4 MB.
-FILTER_BITS = 18
 #: Digests with more than one row in so many are hot; there are fewer of them than this number.
 HOT_SHARE = 1_000
 FIRST = "struct<id:bigint,place:struct<file:string,at:bigint>>"
@@ -87,11 +85,8 @@ def state_of(spark: SparkSession, target: str) -> DataFrame:
 
 def _clashes(rows: DataFrame, state: DataFrame) -> DataFrame:
     """The hit digests that stand for more than one text. rows: digest, norm."""
-    hashed = lambda df: df.withColumn("h", F.xxhash64("digest")).withColumn("at", F.expr(f"shiftrightunsigned(h, {64 - FILTER_BITS})"))
-    hits = hashed(state.filter("group_size > 1").select("digest"))
-    hits = hits.groupBy("at").agg(F.expr("bit_or(shiftleft(1L, CAST(h & 63 AS INT)))").alias("bits"))
-    # the filter has 2 ** FILTER_BITS rows of 16 bytes at most; it lets through all hits and few others
-    hit = hashed(rows).join(F.broadcast(hits), "at").filter("shiftrightunsigned(bits, CAST(h & 63 AS INT)) & 1 = 1")
+    # the filter lets through all hits and few others
+    hit = marked_by(rows, "digest", hash_filter(state.filter("group_size > 1"), "digest")).filter("may")
     seen = hit.groupBy("digest").agg(F.collect_set("norm").alias("texts"))
     return seen.filter(F.size("texts") > 1).select("digest", F.lit(True).alias("clash"))
 

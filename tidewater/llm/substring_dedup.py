@@ -10,10 +10,11 @@ Candidates travel in packs: a block of documents sends, for each bucket of keys,
 and starts; a window that a block holds several times is sent once, marked as repeated. A block's list of
 documents goes with the pack of one bucket, a different one for each block.
 
-Keys stand for words: a key of the base length has ``width`` bytes, chosen from the number of words, and a
-longer one those of all the windows it is put together from (mixed to 16 bytes where they are more). Two
-different windows have one key with a chance of 2 ** (-8 * width) for each base window in which they differ,
-so a wrong removal needs windows that are equal but for one base window: 2 ** -40 for each such pair.
+Keys stand for words. A key of the base length has ``width`` bytes besides its bucket, chosen from the number
+of words so that few windows go on without need; a longer one is mixed from the two it is put together from, to
+8 bytes, and to 12 at the full length, besides its bucket. So a wrong removal needs different windows of equal
+keys: for two that differ in one base window only the chance is 2 ** -(8 * width) over the number of buckets (2 ** -38
+or less), for any others 2 ** -64 or less at a level between and 2 ** -96 in the end.
 
 Defined results: a null text has no words; rows are judged one by one, repeated rows too, so two rows
 of one text remove each other's windows; texts shorter than a window lose nothing. Rows are numbered in
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import hash_filter, marked_by, stored
 
 WINDOW = 35
 #: The shortest windows that are compared have so many words, or up to twice as many.
@@ -120,7 +121,7 @@ def _home(block: int, n_buckets: int) -> int:
 
 def _packs(block: int, keys: np.ndarray, starts: np.ndarray, n_buckets: int, width: int, docs: bytes) -> pa.RecordBatch:
     """One row a bucket: distinct keys of the block with a start each, then what starts share a key."""
-    bucket = (keys >> np.uint64(40)) % np.uint64(n_buckets) if width <= 5 else (keys[:] >> np.uint64(20)) % np.uint64(n_buckets)
+    bucket = (mixed(keys) >> np.uint64(20)) % np.uint64(n_buckets)
     order = np.lexsort((starts, keys, bucket))
     keys, starts, bucket = keys[order], starts[order], bucket[order]
     cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
@@ -206,54 +207,46 @@ def _repeated(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def _block(group: pd.DataFrame):
-    """The documents of a block (row numbers, sizes), and its surviving starts with their keys, by start."""
-    docs, keys, starts, width = None, [], [], 8
+    """The documents of a block (row numbers, sizes), and its surviving starts with their keys and buckets, by start."""
+    docs, keys, starts = None, [], []
     for b in group.itertuples(index=False):
         if b.docs:
             docs = np.frombuffer(b.docs, np.int64).reshape(2, -1)
-        width = int(b.width)
-        k = np.frombuffer(b.keys, np.uint8).reshape(-1, width)
+        packed = np.frombuffer(b.keys, np.uint8).reshape(-1, b.width)
+        k = np.zeros((len(packed), 16), np.uint8)
+        k[:, : b.width] = packed
+        k = k.view("<u8")
+        with np.errstate(over="ignore"):
+            k = mixed(k[:, 0] + mixed(k[:, 1] + np.uint64(b.bucket + 1)))
         size = np.frombuffer(b.many, np.int32) if b.many else np.ones(len(k), np.int32)
-        keys.append(np.repeat(k, size, axis=0))
+        keys.append(np.repeat(k, size))
         starts.append(_restored(b.starts))
     k, s = np.concatenate(keys), np.concatenate(starts)
     order = np.argsort(s)
     return docs, k[order], s[order]
 
 
-def _extended(length: int, longer: int, n_buckets: int):
+def _extended(length: int, longer: int, n_buckets: int, last: bool):
     """Packs of the windows of the longer length whose two covering windows both survived."""
 
     def made(group: pd.DataFrame) -> pd.DataFrame:
         docs, keys, starts = _block(group)
         if not len(starts):
             return pd.DataFrame([], columns=[c.split()[0] for c in PACK.split(", ")])
-        width = keys.shape[1]
         end_of = np.cumsum(docs[1])
         at = np.searchsorted(starts, starts + (longer - length))
         has = (at < len(starts)) & (starts[np.minimum(at, len(starts) - 1)] == starts + (longer - length))
         doc = np.searchsorted(end_of, starts, side="right")
         has &= starts + longer <= end_of[np.minimum(doc, len(end_of) - 1)]
         one, two = keys[has], keys[at[has]]
-        # two halves side by side, each of the key's width, at most 16 bytes: what is wider is mixed down
-        if 2 * width <= 16:
-            pair = np.concatenate([one, two], 1)
-        else:
-            wide = np.zeros((len(one), 16), np.uint8)
-            wide[:, :width] = one
-            second = np.zeros((len(one), 16), np.uint8)
-            second[:, :width] = two
-            a, c = wide.view("<u8"), second.view("<u8")
-            with np.errstate(over="ignore"):
-                pair = np.stack([mixed(a[:, 0] * np.uint64(3) + mixed(c[:, 0])) ^ a[:, 1], mixed(c[:, 0] * np.uint64(5) + mixed(a[:, 0])) ^ c[:, 1]], 1).view(np.uint8).reshape(-1, 16)
-        s = starts[has]
-        whole = np.zeros((len(pair), 16), np.uint8)
-        whole[:, : pair.shape[1]] = pair
-        lanes = whole.view("<u8").reshape(-1, 2)
         with np.errstate(over="ignore"):
-            bucket = mixed(lanes[:, 0] + mixed(lanes[:, 1] + np.uint64(1))) % np.uint64(n_buckets)
+            lanes = np.stack([mixed(one * np.uint64(3) + mixed(two)), mixed(two * np.uint64(5) + mixed(one))], 1)
+        bucket, s = lanes[:, 1] % np.uint64(n_buckets), starts[has]
+        lanes[:, 1] = lanes[:, 1] >> np.uint64(32) if last else 0  # the bytes that are kept
         order = np.lexsort((s, lanes[:, 0], lanes[:, 1], bucket))
-        pair, s, bucket, lanes = pair[order], s[order], bucket[order], lanes[order]
+        s, bucket, lanes = s[order], bucket[order], np.ascontiguousarray(lanes[order])
+        width = 12 if last else 8
+        pair = lanes.view(np.uint8).reshape(-1, 16)[:, :width]
         cuts = np.searchsorted(bucket, np.arange(n_buckets + 1, dtype=np.uint64))
         block, rows = int(group["block"].iloc[0]), []
         home = _home(block, n_buckets)
@@ -262,9 +255,9 @@ def _extended(length: int, longer: int, n_buckets: int):
             if lo == hi and b != home:
                 continue
             first = np.ones(hi - lo, bool)
-            first[1:] = (lanes[lo + 1 : hi] != lanes[lo : hi - 1]).any(1)
+            first[1:] = (lanes[lo + 1 : hi] != lanes[lo : max(lo, hi - 1)]).any(1)
             kinds, at_, many = _by_first_start(pair[lo:hi], s[lo:hi], first)
-            rows.append((block, b, pair.shape[1], np.ascontiguousarray(kinds).tobytes(), at_, many, docs.tobytes() if b == home else b""))
+            rows.append((block, b, width, np.ascontiguousarray(kinds).tobytes(), at_, many, docs.tobytes() if b == home else b""))
 
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PACK.split(", ")])
 
@@ -301,8 +294,8 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, n_words: int | None
         n_words = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
         n_words = n_words // 5 + 1
     n_buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS + 1)
-    # bits: twice the number of words' less what the two halves give together, and a margin
-    width = min(8, max(5, math.ceil((math.log2(n_words + 1) + 12) / 8)))
+    # one window in 2 ** 10 at most goes on without need; the bucket tells some of the bits
+    width = min(8, max(4, math.ceil((math.log2(n_words + 1) + 10 - math.log2(n_buckets)) / 8)))
     steps = levels(window)
     packs = keyed.select("rid", "text").mapInArrow(_candidates(steps[0], n_buckets, width), PACK)
     for length, longer in zip(steps, [*steps[1:], None], strict=True):
@@ -310,7 +303,7 @@ def repeated_ranges(keyed: DataFrame, window: int = WINDOW, n_words: int | None
         by_block = survived.groupBy("block")
         if longer is None:
             return by_block.applyInPandas(_covered(window), "rid bigint, ranges binary")
-        packs = by_block.applyInPandas(_extended(length, longer, n_buckets), PACK)
+        packs = by_block.applyInPandas(_extended(length, longer, n_buckets, longer == window), PACK)
 
 
 def substring_dedup(docs: DataFrame, carried: list[str], window: int = WINDOW) -> DataFrame:
@@ -318,7 +311,10 @@ def substring_dedup(docs: DataFrame, carried: list[str], window: int = WINDOW) -
     row = F.struct(*[F.col(c) for c in carried])
     keyed = docs.select(F.monotonically_increasing_id().alias("rid"), row.alias("row"), "text")
     ranges = stored(repeated_ranges(keyed, window), "substring-ranges")
-    joined = keyed.join(ranges, "rid", "left").select("row", "text", "ranges")
+    # only the texts that lose something meet their ranges in a shuffle
+    marked = marked_by(keyed, "rid", hash_filter(ranges, "rid"))
+    cut = marked.filter("may").join(ranges, "rid", "left").select("row", "text", "ranges")
+    joined = marked.filter("not may").select("row", "text", F.lit(None).cast("binary").alias("ranges")).unionByName(cut)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
