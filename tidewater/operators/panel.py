@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import midrank, safe_corr
+from ..functions.columns import midrank, safe_corr, upper_median
 
 YEAR = math.sqrt(252)
 
@@ -25,33 +25,50 @@ def before(k: int):
     return by_ticker().rowsBetween(-k, -1)
 
 
-def price_features(bars: DataFrame) -> DataFrame:
-    """Features known before each bar. All windows share one partitioning and order, so there is one shuffle."""
+def price_features(bars: DataFrame, least: int = 252) -> DataFrame:
+    """The 35 price features known before each bar that has ``least`` bars before it.
+
+    All windows share one partitioning and order, so there is one shuffle. Returns are of adjusted closes; traded
+    value and the price level are of raw ones (raw_close), where the bars have them.
+    """
     c = lambda k: F.lag("close", k).over(by_ticker())
-    df = bars.withColumn("ret", F.when(F.lag("close").over(by_ticker()) > 0, F.log(F.col("close") / F.lag("close").over(by_ticker()))))
+    raw = F.coalesce("raw_close", "close") if "raw_close" in bars.columns else F.col("close")
+    df = bars.withColumn("raw", raw).withColumn("before", F.lag("close").over(by_ticker()))
+    df = df.withColumn("ret", F.when((F.col("before") > 0) & (F.col("close") > 0), F.log(F.col("close") / F.col("before"))))
+    df = df.withColumn("simple", F.when(F.col("before") > 0, (F.col("close") / F.col("before") - 1) * 100))
+    df = df.withColumn("vol20", F.stddev_pop("ret").over(before(20)) * YEAR)
     ratio = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(1.0))
     mean = lambda name, k: F.avg(name).over(before(k))
-    change = lambda k: F.when(c(1 + k) > 0, (c(1) / c(1 + k) - 1) * 100)
+    change = lambda k: F.coalesce(F.when(c(1 + k) > 0, (c(1) / c(1 + k) - 1) * 100), F.lit(0.0))
     vol = lambda k: F.stddev_pop("ret").over(before(k)) * YEAR
     peak = lambda k: F.max("close").over(before(k))
-    features: dict[str, Column] = {f"momentum_{k}d": change(k) for k in (5, 20, 60, 120)}
-    features |= {"reversal_1d": change(1), "volatility_20d": vol(20), "volatility_60d": vol(60), "vol_change_60_20": ratio(vol(20), vol(60))}
+    some = lambda x: F.greatest(x, F.lit(1e-8))
+    features: dict[str, Column] = {f"momentum_{k}d": change(k) for k in (5, 20, 60, 120, 252)}
+    features |= {"reversal_1d": change(1), "reversal_5d": change(5), "volatility_20d": F.col("vol20"), "volatility_60d": vol(60), "volatility_252d": vol(252)}
+    features |= {"vol_change_60_20": ratio(F.col("vol20"), vol(60))}
     features |= {"volume_trend_20_60": ratio(mean("volume", 20), mean("volume", 60)), "volume_trend_5_20": ratio(mean("volume", 5), mean("volume", 20))}
     features["volume_zscore_60d"] = F.coalesce(F.try_divide(F.lag("volume").over(by_ticker()) - mean("volume", 60), F.stddev_pop("volume").over(before(60))), F.lit(0.0))
-    traded = F.col("volume") * F.col("close")
-    features["amihud_illiquidity_20d"] = F.avg(F.when(traded > 0, F.abs("ret") / traded)).over(before(20)) * 1e8
-    features |= {"price_to_high_60d": c(1) / F.greatest(peak(60), F.lit(1e-8)), "price_to_low_60d": c(1) / F.greatest(F.min("close").over(before(60)), F.lit(1e-8))}
-    features |= {"sma_50_distance": c(1) / mean("close", 50) - 1, "sma_20_distance": c(1) / mean("close", 20) - 1}
-    features |= {"drawdown_60d": (c(1) - peak(60)) / peak(60), "range_compression_20d": F.avg((F.col("high") - F.col("low")) / F.col("close")).over(before(20))}
+    traded = F.col("volume") * F.col("raw")
+    features["amihud_illiquidity_20d"] = F.coalesce(F.avg(F.when(traded > 0, F.abs("ret") / traded)).over(before(20)) * 1e8, F.lit(0.0))
+    features |= {"price_to_high_60d": c(1) / some(peak(60)), "price_to_low_60d": c(1) / some(F.min("close").over(before(60))), "price_to_high_252d": c(1) / some(peak(252))}
+    features |= {"sma_50_distance": c(1) / some(mean("close", 50)) - 1, "sma_200_distance": c(1) / some(mean("close", 200)) - 1}
+    features |= {"sma_50_over_200": ratio(mean("close", 50), mean("close", 200)) - 1, "last_close_over_sma_20": c(1) / some(mean("close", 20)) - 1}
+    features |= {f"drawdown_{k}d": F.coalesce(F.try_divide(c(1) - peak(k), peak(k)), F.lit(0.0)) for k in (60, 252)}
+    for k in (60, 252):
+        features |= {f"skew_{k}d": F.coalesce(F.skewness("ret").over(before(k)), F.lit(0.0)), f"kurt_{k}d": F.coalesce(F.kurtosis("ret").over(before(k)), F.lit(0.0))}
+    features["range_compression_20d"] = F.sum(F.when(F.col("close") > 0, (F.col("high") - F.col("low")) / F.col("close"))).over(before(20)) / 20
     features["price_velocity_acceleration"] = change(20) / 20 - change(60) / 60
-    simple = F.col("close") / F.lag("close").over(by_ticker()) - 1
-    df = df.withColumn("simple", simple * 100)
     features["max_daily_ret_21d"] = F.greatest(F.lit(0.0), F.max("simple").over(before(21)))
     features["downside_vol_60d"] = F.sqrt(F.coalesce(F.avg(F.when(F.col("ret") < 0, F.col("ret") * F.col("ret"))).over(before(60)), F.lit(0.0))) * YEAR
-    features |= {"skew_60d": F.coalesce(F.skewness("ret").over(before(60)), F.lit(0.0)), "kurt_60d": F.coalesce(F.kurtosis("ret").over(before(60)), F.lit(0.0))}
-    features["log_price_level"] = F.log(F.greatest(F.lit(0.01), c(1)))
+    vols = F.array(F.col("vol20"), *[F.lag("vol20", k).over(by_ticker()) for k in range(5, 41, 5)])
+    level = F.aggregate(vols, F.lit(0.0), lambda acc, x: acc + x) / F.size(vols)
+    features["vol_of_vol_60d"] = F.coalesce(F.sqrt(F.aggregate(vols, F.lit(0.0), lambda acc, x: acc + (x - level) * (x - level)) / F.size(vols)), F.lit(0.0))
+    since = F.datediff("date", F.min("date").over(by_ticker().rowsBetween(Window.unboundedPreceding, 0)))
+    features["listing_age_years"] = F.least(F.lit(25.0), F.greatest(F.lit(0.0), since / 365.25))
+    features["log_price_level"] = F.log(F.greatest(F.lit(0.01), F.lag("raw").over(by_ticker())))
     n_before = F.row_number().over(by_ticker()) - 1
-    return df.withColumn("n_before", n_before).select("ticker", "date", "n_before", *[e.alias(n) for n, e in features.items()])
+    rows = df.withColumn("n_before", n_before).select("ticker", "date", "n_before", c(1).alias("last"), *[e.alias(n) for n, e in features.items()])
+    return rows.filter((F.col("n_before") >= least) & (F.col("last") > 0)).drop("last")
 
 
 def forward_labels(bars: DataFrame, horizons=(5, 20, 60, 120)) -> DataFrame:
@@ -111,3 +128,60 @@ def neutral_ranks(panel: DataFrame, values: list[str], least: int) -> DataFrame:
         has = Window.partitionBy("date", F.col(v).isNull())
         ranks[f"{v}_rank"] = F.when(F.col(v).isNotNull() & (F.count(v).over(by_date()) >= least), midrank(v, has)).otherwise(50.0)
     return panel.withColumns(ranks)
+
+
+def imputed(panel: DataFrame, values: list[str]) -> DataFrame:
+    """Missing values by their date's upper median, else by that of all values up to and including the date; 0 without any.
+
+    ``<value>_imputed`` tells which. The pool of earlier values is only ordered for dates that have none of their own.
+    """
+    for v in values:
+        own = panel.groupBy("date").agg(upper_median(F.collect_list(v)).alias("own"))
+        empty = own.filter("own is null").select(F.col("date").alias("gap"))
+        pool = panel.filter(F.col(v).isNotNull()).join(empty, F.col("date") <= F.col("gap")).select("gap", v)
+        place = Window.partitionBy("gap").orderBy(v)
+        ranked = pool.withColumn("at", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gap")))
+        earlier = ranked.filter(F.col("at") == F.floor(F.col("n") / 2)).select(F.col("gap").alias("date"), F.col(v).alias("pooled"))
+        panel = panel.join(own, "date", "left").join(earlier, "date", "left")
+        panel = panel.withColumn(f"{v}_imputed", F.col(v).isNull()).withColumn(v, F.coalesce(v, "own", "pooled", F.lit(0.0))).drop("own", "pooled")
+    return panel
+
+
+def survivorship_cohorts(panel: DataFrame, cap: str, age: str, observed: str, young: float = 3.0) -> DataFrame:
+    """cohort: noFundamentals, survivorPrivileged (young, or in the date's lowest fifth of observed caps), core."""
+    caps = F.array_sort(F.collect_list(F.when(F.col(observed), F.col(cap))).over(by_date()))
+    cut = F.when(F.size(caps) >= 10, F.get(caps, F.floor(F.size(caps) * 0.2).cast("int")))
+    small = F.coalesce(F.col(cap) <= cut, F.lit(False))
+    return panel.withColumn("cohort", F.when(~F.col(observed), "noFundamentals").when((F.col(age) < young) | small, "survivorPrivileged").otherwise("core"))
+
+
+def ordinal_correlations(panel: DataFrame, score: str, label: str, least: int = 5) -> DataFrame:
+    """Per date the correlation of ordinal ranks, ties in the order of tickers."""
+    rows = panel.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    rank = lambda x: F.row_number().over(by_date().orderBy(x, "ticker"))
+    rows = rows.withColumn("r_score", rank(score)).withColumn("r_label", rank(label))
+    return rows.groupBy("date").agg(F.count(F.lit(1)).alias("n"), safe_corr("r_score", "r_label").alias("rank_ic")).filter(F.col("n") >= least)
+
+
+def batch_normalized(panel: DataFrame, value: str, out: str, mean: float, std: float, least: int = 5) -> DataFrame:
+    """z within each date with missing values at the date's upper median; by frozen moments on small dates or where all is missing."""
+    n = F.count(F.lit(1)).over(by_date())
+    median = upper_median(F.collect_list(value).over(by_date()))
+    rows = panel.withColumn("n_names", n).withColumn("median", median).withColumn("filled", F.coalesce(value, "median"))
+    level = F.avg("filled").over(by_date())
+    wide = F.greatest(F.stddev_pop("filled").over(by_date()), F.lit(1e-6))
+    frozen = (F.coalesce(F.col(value), F.lit(mean)) - mean) / max(1e-12, std)
+    z = F.when((F.col("n_names") < least) | F.col("median").isNull(), frozen).otherwise((F.col("filled") - level) / wide)
+    return rows.withColumn(out, z).drop("n_names", "median", "filled")
+
+
+def feature_sharpes(panel: DataFrame, values: list[str], label: str, least: int = 10, dates: int = 5) -> DataFrame:
+    """feature, n_dates, sharpe: mean over deviation of the per-date spread between its top and bottom fifths."""
+    long = panel.select("date", "ticker", label, F.explode(F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).alias("x")) for v in values])).alias("f")).select("date", "ticker", label, "f.*")
+    of = Window.partitionBy("feature", "date")
+    long = long.filter(F.col("x").isNotNull() & F.col(label).isNotNull()).withColumn("n", F.count(F.lit(1)).over(of)).withColumn("at", F.row_number().over(of.orderBy("x", "ticker")))
+    long = long.filter(F.col("n") >= least).withColumn("k", F.greatest(F.lit(1), F.floor(F.col("n") / 5)))
+    spread = F.avg(F.when(F.col("at") > F.col("n") - F.col("k"), F.col(label))) - F.avg(F.when(F.col("at") <= F.col("k"), F.col(label)))
+    each = long.groupBy("feature", "date").agg(spread.alias("spread"))
+    out = each.groupBy("feature").agg(F.count(F.lit(1)).alias("n_dates"), F.coalesce(F.try_divide(F.avg("spread"), F.stddev_pop("spread")), F.lit(0.0)).alias("sharpe"))
+    return out.filter(F.col("n_dates") >= dates)

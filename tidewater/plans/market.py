@@ -78,18 +78,13 @@ SELECT ticker, date, row_number() OVER ({W}) - 1 AS n_before,
   round(greatest(0, max(simple * 100) OVER {_BACK(21)}), 6) AS max_daily_ret_21d,
   round(sqrt(coalesce(avg(CASE WHEN ret < 0 THEN ret * ret END) OVER {_F60}, 0)) * sqrt(252), 6) AS downside_vol_60d,
   round(ln(greatest(0.01, lag(close, 1) OVER ({W}))), 6) AS log_price_level
-FROM r QUALIFY row_number() OVER ({W}) > 61""")
+FROM r QUALIFY row_number() OVER ({W}) > 252""")
 def price_features(spark, sf_dir):
     names = "ticker date n_before momentum_5d momentum_20d momentum_60d momentum_120d reversal_1d volatility_20d volatility_60d volume_trend_20_60 price_to_high_60d price_to_low_60d sma_20_distance drawdown_60d range_compression_20d max_daily_ret_21d downside_vol_60d log_price_level".split()
-    rows = panel.price_features(bars(spark, sf_dir)).filter("n_before > 60")
+    rows = panel.price_features(bars(spark, sf_dir)).withColumnRenamed("last_close_over_sma_20", "sma_20_distance")
     return rounded(rows.select(*names, F.round("amihud_illiquidity_20d", 4).alias("amihud_illiquidity_20d")))
 
 
-@query()
-def price_features_all(spark, sf_dir):
-    return rounded(panel.price_features(bars(spark, sf_dir)).filter("n_before >= 120"))
-
-
 @query(BARS + f""" SELECT ticker, date, {', '.join(f"round((lead(close, {k}) OVER ({W}) / close - 1) * 100, 6) AS fwd_{k}d, lead(date, {k}) OVER ({W}) AS label_end_{k}d" for k in (5, 20, 60, 120))} FROM bars""")
 def forward_labels(spark, sf_dir):
     return rounded(panel.forward_labels(bars(spark, sf_dir)))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decisions, market
+from .plans import decisions, features, market
 
-QUERIES = market.QUERIES | decisions.QUERIES
-ORACLE_SQL = market.ORACLE_SQL | decisions.ORACLE_SQL
+QUERIES = market.QUERIES | decisions.QUERIES | features.QUERIES
+ORACLE_SQL = market.ORACLE_SQL | decisions.ORACLE_SQL | features.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
