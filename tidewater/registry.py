@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import decisions, features, market
+from .plans import decisions, features, market, portfolio
 
-QUERIES = market.QUERIES | decisions.QUERIES | features.QUERIES
-ORACLE_SQL = market.ORACLE_SQL | decisions.ORACLE_SQL | features.ORACLE_SQL
+QUERIES = market.QUERIES | decisions.QUERIES | features.QUERIES | portfolio.QUERIES
+ORACLE_SQL = market.ORACLE_SQL | decisions.ORACLE_SQL | features.ORACLE_SQL | portfolio.ORACLE_SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
