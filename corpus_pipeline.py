@@ -9,28 +9,33 @@ documents. A document that the mix takes twice is there twice from then on.
 from __future__ import annotations
 
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm import byte_bpe, exact_dedup, language_id, mixing, simhash
 from tidewater.llm.common import forget, release, shared_dir, stored_paths
 
-#: Tables of the stage before, which its successor deletes.
-_left: list[str] = []
+#: Tables of the stage before, which its successor deletes; each run() has its own, stages called alone share one a session.
+_left: ContextVar[list[str] | None] = ContextVar("left", default=None)
+_alone: dict[str, list[str]] = {}
 
 
 def _applied(spark: SparkSession, operator, docs: DataFrame) -> DataFrame:
-    while _left:
-        forget(spark, _left.pop())
+    left = _left.get()
+    if left is None:
+        left = _alone.setdefault(spark.sparkContext.applicationId, [])
+    while left:
+        forget(spark, left.pop())
     release(spark)
     with stored_paths() as paths:
         out = operator(docs)
-    _left.extend(paths)
+    left.extend(paths)
     return out
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told."""
+    """Documents in a learned language that has at least half of the score."""
     return _applied(spark, language_id.with_language, docs)
 
 
@@ -61,13 +66,24 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The last stage's rows. What it reads lies in the shared folder until the session ends; all before is deleted, also on a failure."""
+    own: list[str] = []
+    token = _left.set(own)
     before = None
-    for name, stage in STAGES[:-1]:
-        rows = stage(spark, docs, sf_dir)
-        path = f"{shared_dir(spark)}/tidewater-pipeline/{name}-{uuid.uuid4().hex}"
-        rows.write.parquet(path)
-        if before:
-            forget(spark, before)
-        docs, before = spark.read.schema(rows.schema).parquet(path), path
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        for name, stage in STAGES[:-1]:
+            rows = stage(spark, docs, sf_dir)
+            path = f"{shared_dir(spark)}/tidewater-pipeline/{name}-{uuid.uuid4().hex}"
+            rows.write.parquet(path)
+            if before:
+                forget(spark, before)
+            docs, before = spark.read.schema(rows.schema).parquet(path), path
+        return STAGES[-1][1](spark, docs, sf_dir)
+    except BaseException:
+        for path in [*own, before]:
+            if path:
+                forget(spark, path)
+        raise
+    finally:
+        _left.reset(token)
