@@ -34,10 +34,10 @@ def test_selection_statistics(spark):
 
 
 def test_features_do_not_see_the_current_bar(spark):
-    rows = [("a", d, 100.0 + d % 7, 110.0, 90.0, 5.0 + d) for d in range(80)]
-    make = lambda x: panel.price_features(spark.createDataFrame(x, "ticker string, date int, close double, high double, low double, volume double"))
-    one = make(rows).filter("date <= 70").collect()
-    other = make([r if r[1] < 70 else (r[0], r[1], r[2] * 9, 999.0, 1.0, 1.0) for r in rows]).filter("date <= 70").collect()
+    rows = [("a", d, 100.0 + d % 7, 110.0, 90.0, 5.0 + d) for d in range(330)]
+    make = lambda x: panel.price_features(spark.createDataFrame(x, "ticker string, date int, close double, high double, low double, volume double").withColumn("date", F.date_add(F.lit("2000-01-01").cast("date"), F.col("date"))))
+    one = make(rows).filter("n_before <= 300").collect()
+    other = make([r if r[1] < 300 else (r[0], r[1], r[2] * 9, 999.0, 1.0, 1.0) for r in rows]).filter("n_before <= 300").collect()
     assert sorted(map(repr, one)) == sorted(map(repr, other))
 
 

@@ -7,15 +7,17 @@ from pyspark.sql import functions as F
 
 from .columns import clamp, col
 
-# Fixed value: the form of a symbol.
+# The form of a symbol, and of a number without its signs of currency and thousands.
 SYMBOL = r"^[A-Z][A-Z0-9.-]{0,9}$"
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(text: str) -> Column:
     """A plain, currency or thousands number; parentheses around it are a minus sign."""
     bare = F.regexp_replace(F.regexp_replace(F.col(text), r"[$,]", ""), r"^\((.*)\)$", "-$1")
-    number = F.trim(bare).try_cast("double")
-    return F.when(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != float("inf")), number)
+    digits = F.trim(bare)
+    number = digits.try_cast("double")
+    return F.when(digits.rlike(NUMBER) & (F.abs(number) != float("inf")), number)
 
 
 def sanitize_ticker(text: str) -> Column:

@@ -231,7 +231,7 @@ SELECT ticker, date, round(short / long, 6) AS iv_rv, CASE WHEN short / long > 1
 FROM v WHERE n_before > 60 AND short > 0 AND (short / long > 1.3 OR short / long < 0.85)""")
 def premium_flags(spark, sf_dir):
     """Short volatility stands for the implied one, long volatility for the forecast."""
-    rows = panel.price_features(bars(spark, sf_dir)).filter("n_before > 60").select("ticker", "date", "volatility_20d", "volatility_60d")
+    rows = panel.price_features(bars(spark, sf_dir), least=61).select("ticker", "date", "volatility_20d", "volatility_60d")
     return rounded(options.premium_flags(rows, "volatility_20d", "volatility_60d").select("ticker", "date", "iv_rv", "side", "score"))
 
 
