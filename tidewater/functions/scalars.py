@@ -27,9 +27,9 @@ def sanitize_ticker(text: str) -> Column:
     return F.when(symbol.rlike(SYMBOL), symbol)
 
 
-def shift_months(date: str, months: int) -> Column:
+def shift_months(date, months: int) -> Column:
     """The date so many months on; a day that the month lacks runs into the next month."""
-    return F.date_add(F.add_months(F.trunc(F.col(date), "MM"), months), F.dayofmonth(date) - 1)
+    return F.date_add(F.add_months(F.trunc(col(date), "MM"), months), F.dayofmonth(col(date)) - 1)
 
 
 def logistic_percent(value, scale: float = 3.0, center: float = 0.5) -> Column:
