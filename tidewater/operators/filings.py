@@ -28,11 +28,6 @@ BOUNDS = {
 }
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value) with the value worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _last(rows: Column) -> Column:
     return F.get(rows, F.size(rows) - 1)
 
@@ -44,22 +39,18 @@ def _nearest_value(rows: Column, day: Column, days: int) -> Column:
     return F.array_min(F.transform(near, lambda r: F.struct(gap(r).alias("gap"), r["until"].alias("until"), r["value"].alias("value"))))["value"]
 
 
-def ttm(rows: Column, upto: Column | None = None) -> Column:
-    """Twelve months of a flow from an array of periods ordered by end, of those that end by ``upto``.
+def ttm(years: Column, quarters: Column) -> Column:
+    """Twelve months of a flow from arrays of its annual and quarterly periods, each ordered by end.
 
     The last year plus later quarters less the same quarters of the year before; without a year, or where such a
     quarter is missing, four quarters that span 240 to 320 days from first to last end; else the last year as it is.
     """
-    told = rows if upto is None else F.filter(rows, lambda r: r["until"] <= upto)
-
-    def total(years: Column, quarters: Column) -> Column:
-        year, last4 = _last(years), F.slice(quarters, -4, 4)
-        later = F.filter(quarters, lambda r: r["until"] > year["until"])
-        change = F.aggregate(later, F.lit(0.0), lambda acc, r: acc + r["value"] - _nearest_value(quarters, scalars.shift_months(r["until"], -12), 21))
-        four = F.when((F.size(quarters) >= 4) & F.datediff(F.get(last4, F.lit(3))["until"], F.get(last4, F.lit(0))["until"]).between(240, 320), F.aggregate(last4, F.lit(0.0), lambda acc, r: acc + r["value"]))
-        return F.when(year.isNull(), four).otherwise(F.coalesce(year["value"] + change, four, year["value"]))
-
-    return _bound(F.filter(told, lambda r: r["span"] == "annual"), lambda years: _bound(F.filter(told, lambda r: r["span"] == "quarter"), lambda quarters: total(years, quarters)))
+    year, last4 = _last(years), F.slice(quarters, -4, 4)
+    later = F.filter(quarters, lambda r: r["until"] > year["until"])
+    change = F.aggregate(later, F.lit(0.0), lambda acc, r: acc + r["value"] - _nearest_value(quarters, scalars.shift_months(r["until"], -12), 21))
+    days = F.datediff(F.get(last4, F.lit(3))["until"], F.get(last4, F.lit(0))["until"])
+    four = F.when((F.size(quarters) >= 4) & days.between(240, 320), F.aggregate(last4, F.lit(0.0), lambda acc, r: acc + r["value"]))
+    return F.when(year.isNull(), four).otherwise(F.coalesce(year["value"] + change, four, year["value"]))
 
 
 def snapshots(facts: DataFrame) -> DataFrame:
@@ -86,7 +77,9 @@ def snapshots(facts: DataFrame) -> DataFrame:
     shares = _last(F.col("shares_rows"))
     then = _nearest_value(F.col("shares_rows"), scalars.shift_months(shares["until"], -12), 100)
     change = F.when((shares["value"] > 0) & (then > 0), (shares["value"] / then - 1) * 100)
-    held = held.select("symbol", "known", *[ttm(F.col(f"{c}_rows"), F.col(upto) if upto else None).alias(f"ttm_{n}") for n, (c, upto) in flows.items()], *[_last(F.col(f"{c}_rows"))["value"].alias(c) for c in instants], change.alias("share_change_yoy"))
+    of = lambda c, span, upto: F.filter(f"{c}_rows", lambda r: (r["span"] == span) & (r["until"] <= F.col(upto)) if upto else r["span"] == span)
+    held = held.withColumns({f"{n}_{span}": of(c, span, upto) for n, (c, upto) in flows.items() for span in ("annual", "quarter")})
+    held = held.select("symbol", "known", *[ttm(F.col(f"{n}_annual"), F.col(f"{n}_quarter")).alias(f"ttm_{n}") for n in flows], *[_last(F.col(f"{c}_rows"))["value"].alias(c) for c in instants], change.alias("share_change_yoy"))
     part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b) * 100)
     growth = part("ttm_revenue", "ttm_revenue_before") - 100
     held = held.withColumns({
