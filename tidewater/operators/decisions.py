@@ -152,3 +152,32 @@ def transition_kind(before: str, after: str) -> Column:
     moves = {"bullish>bearish": "exit", "bullish>neutral": "soften", "neutral>bullish": "entry", "bearish>bullish": "entry", "neutral>bearish": "warn"}
     path = F.create_map(*[F.lit(x) for pair in moves.items() for x in pair])[F.concat(a, F.lit(">"), b)]
     return F.when(a == b, F.concat(F.lit("stay-"), a)).otherwise(F.coalesce(path, F.lit("other")))
+
+
+# The percentile of the top fifth, and a year's equity premium over 20 of 252 days, in percent.
+TOP_FIFTH = 80
+PACE = 0.055 * 20 / 252 * 100
+
+
+def conviction(rows: DataFrame) -> DataFrame:
+    """How many independent layers agree on a name: one column ``layer_*`` each (null: not measured), passed, available, score, label.
+
+    rows: alpha and skew_percentile (0 to 100), ml and monte_carlo (20-day percent), gated (regime), horizons (forecasts of
+    several horizons; three at least count, and three quarters of them must be positive). Anything but alpha may be null;
+    null forecasts within horizons count as not positive. Under three layers there is no score to speak of.
+    """
+    positive = F.size(F.filter("horizons", lambda h: h > 0))
+    layers = {
+        "rules": F.col("alpha") >= TOP_FIFTH,
+        "ml": F.col("ml") > 0,
+        "monte_carlo": F.col("monte_carlo") > PACE,
+        "options": F.col("skew_percentile") < TOP_FIFTH,
+        "regime": ~F.col("gated"),
+        "horizons": F.when(F.size("horizons") >= 3, positive >= F.ceil(F.size("horizons") * 0.75)),
+    }
+    rows = rows.withColumns({f"layer_{n}": e for n, e in layers.items()})
+    count = lambda e: sum((e(F.col(f"layer_{n}")).cast("int") for n in layers), F.lit(0))
+    rows = rows.withColumns({"passed": count(lambda c: F.coalesce(c, F.lit(False))), "available": count(lambda c: c.isNotNull())})
+    rows = rows.withColumn("score", F.when(F.col("available") >= 3, F.col("passed") / F.col("available")).otherwise(0.0))
+    label = F.when(F.col("available") < 3, "Insufficient evidence").when(F.col("passed") >= 5, "High conviction")
+    return rows.withColumn("label", label.when(F.col("score") >= 2 / 3, "Solid").when(F.col("score") >= 1 / 3, "Mixed").otherwise("Weak"))

@@ -6,8 +6,10 @@ price the last price. What the fixture lacks (predictions, evidence, simulated p
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import decisions
 from ..operators import portfolio as pf
 from ..sources.tables import table
 from .decisions import scored, scored_sql
@@ -158,3 +160,23 @@ def refined_actions(spark, sf_dir):
     rows = rows.withColumn("action", pf.refined_action((key % 101 - 50).cast("double") / 20, (key % 17).cast("double") / 200, (key % 23).cast("double") / 40))
     cap = F.when(key % 10 != 0, F.col("last_price") * 10000 * (key % 9000))
     return rows.select("ticker", "action", pf.position_plan(F.col("action"), F.col("dataConfidence")).alias("plan"), pf.next_check(F.col("action"), key % 100).alias("next_check"), pf.tiered(cap, pf.TRADING_COST).alias("cost_bps"), pf.tiered(cap, pf.BORROW_FEE).alias("borrow_bps"))
+
+
+@query(UNIVERSE + """, m AS (SELECT ticker, opportunity, CAST(opportunity AS DOUBLE) AS alpha, CASE WHEN ticker % 5 > 0 THEN (ticker % 13) - 5.5 END AS ml, CASE WHEN ticker % 4 > 0 THEN (ticker % 9) / 10.0 END AS mc,
+  risk_score AS skew, CASE WHEN ticker % 3 > 0 THEN ticker % 7 = 0 END AS gated, ticker % 6 AS k FROM u),
+sk AS (SELECT *, CASE WHEN count(*) OVER () > 1 THEN (rank() OVER (ORDER BY skew) - 1 + (count(*) OVER (PARTITION BY skew) - 1) / 2.0) / (count(*) OVER () - 1) * 100 ELSE 50 END AS pct FROM m),
+l AS (SELECT *, [alpha >= 80, ml > 0, mc > 0.055 * 20 / 252 * 100, pct < 80, NOT gated, CASE WHEN k >= 3 THEN len(list_filter(range(1, k + 1), lambda i: (ticker * i) % 11 > 3)) >= ceil(k * 0.75) END] AS layers FROM sk),
+cv AS (SELECT *, len(list_filter(layers, lambda x: x)) AS passed, len(list_filter(layers, lambda x: x IS NOT NULL)) AS available FROM l),
+s AS (SELECT *, CASE WHEN available >= 3 THEN passed / available ELSE 0 END AS score FROM cv)
+SELECT ticker, CAST(passed AS INT) AS passed, CAST(available AS INT) AS available, round(score, 6) AS score, CASE WHEN available < 3 THEN 'Insufficient evidence' WHEN passed >= 5 THEN 'High conviction' WHEN score >= 2 / 3 THEN 'Solid' WHEN score >= 1 / 3 THEN 'Mixed' ELSE 'Weak' END AS label FROM s""")
+def conviction_stacks(spark, sf_dir):
+    """Layers made of keys; the skew percentile comes from counts of whole scores, so no window holds the universe."""
+    t, rows = F.col("ticker"), universe(spark, sf_dir)
+    counts = rows.groupBy("risk_score").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.orderBy("risk_score").rowsBetween(Window.unboundedPreceding, 0)
+    counts = counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    place = F.when(F.col("all") > 1, (F.col("upto") - F.col("n") + (F.col("n") - 1) / 2) / (F.col("all") - 1) * 100).otherwise(50.0)
+    rows = rows.join(counts.select("risk_score", place.alias("skew_percentile")), "risk_score")
+    horizons = F.filter(F.sequence(F.lit(1), F.lit(5)), lambda i: i <= t % 6)
+    rows = rows.select("ticker", F.col("opportunity").cast("double").alias("alpha"), "skew_percentile", F.when(t % 5 > 0, t % 13 - 5.5).alias("ml"), F.when(t % 4 > 0, (t % 9) / 10).alias("monte_carlo"), F.when(t % 3 > 0, t % 7 == 0).alias("gated"), F.transform(horizons, lambda i: (t * i % 11 - 3).cast("double")).alias("horizons"))
+    return rounded(decisions.conviction(rows).select("ticker", "passed", "available", "score", "label"))
