@@ -48,3 +48,17 @@ def test_scores_survive_nulls_and_flat_universes(spark):
 def test_two_distributions_agree(spark):
     r = spark.range(1).select((fx.scorer_cdf(0.7) - fx.normal_cdf(0.7)).alias("a"), (fx.scorer_cdf(-2.0) - fx.normal_cdf(-2.0)).alias("b")).first()
     assert abs(r["a"]) < 1e-6 and abs(r["b"]) < 1e-6
+
+
+def test_conviction_needs_three_layers(spark):
+    schema = "i int, alpha double, skew_percentile double, ml double, monte_carlo double, gated boolean, horizons array<double>"
+    rows = [
+        (1, 90.0, None, None, None, None, None),
+        (2, 90.0, 79.9, 1.0, 0.44, False, [1.0, 2.0, 3.0, -1.0]),
+        (3, 90.0, 10.0, 1.0, 0.43, True, [1.0, -2.0, None]),
+        (4, 10.0, 80.0, 0.0, None, None, [1.0, 2.0]),
+        (5, None, 10.0, 1.0, None, False, []),
+    ]
+    got = {r["i"]: (r["passed"], r["available"], r["label"]) for r in decisions.conviction(spark.createDataFrame(rows, schema)).collect()}
+    assert got[1] == (1, 1, "Insufficient evidence") and got[2] == (6, 6, "High conviction")
+    assert got[3] == (3, 6, "Mixed") and got[4] == (0, 3, "Weak") and got[5] == (3, 3, "Solid")
