@@ -469,8 +469,9 @@ def test_repair():
             assert len(seq) + 2 * len(rules) < n
 
 
-def test_read_document():
+def test_read_document(monkeypatch):
     """Random access to whole documents and parts of them, over several frames and with the end id inside texts."""
+    monkeypatch.setattr(token_files, "FRAME", 4096)
     rng = np.random.default_rng(2)
     texts = [rng.integers(1 if i % 2 else 2, 9 if i % 3 else 30_000, n).astype(np.uint32) for i, n in enumerate((0, 1, 90_000, 3, 120_000, 0, 77))]
     names = [c.split()[0] for c in token_files.SHARD.split(", ")]

@@ -7,6 +7,7 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,23 +34,24 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-_watchers: list[list[str]] = []
+#: Who is told of stored tables; each thread of work has its own.
+_watchers: ContextVar[tuple[list[str], ...]] = ContextVar("watchers", default=())
 
 
 @contextlib.contextmanager
 def stored_paths() -> Iterator[list[str]]:
     """The paths of tables that operators store meanwhile, for a caller that deletes them in the end."""
     paths: list[str] = []
-    _watchers.append(paths)
+    token = _watchers.set((*_watchers.get(), paths))
     try:
         yield paths
     finally:
-        _watchers.remove(paths)
+        _watchers.reset(token)
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/tidewater/{name}-{uuid.uuid4().hex}"
-    for paths in _watchers:
+    for paths in _watchers.get():
         paths.append(path)
     return path
 
