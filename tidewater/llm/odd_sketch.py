@@ -8,9 +8,10 @@ which of the sets that meet are worth a look at the texts. What is linked in the
 
 Sets meet in two rounds, so that a group of very many copies never becomes all its pairs: first each set
 with the least one of its bucket (one pair a member); links that the full sets confirm join into components.
-Then only buckets that still hold several components are gone through, and there only pairs of different
-components whose sketches are alike; wide buckets are cut into blocks, a task a pair of blocks. Every two sets
-of one bucket are therefore linked, known to be connected, or compared. What can be lost is a pair that shares
+Then only buckets that still hold several components are gone through, wide ones cut into blocks, a task a pair
+of blocks: the sets that look like one of another component have their overlaps counted there, all at once as
+products of matrices, and what is told are links that join components, not pairs that were compared. Every two
+sets of one bucket are therefore linked, known to be connected, or compared. What can be lost is a pair that shares
 no band (at a likeness of 0.85 seven of a million) or whose sketches differ too much (less than one of a million).
 
 Defined results: texts of equal sets are one node, however many there are; a null, empty or blank text has an
@@ -40,8 +41,8 @@ SAMPLES, BANDS, ROWS = 128, 20, 5
 #: Bits of a sketch, and how many of them may differ: two for each differing sample at most, of which sets at
 #: the limit have 19 on average and above 40 in less than one case of a million.
 SKETCH, MAX_ODD = 512, 80
-#: Members of a block of a wide bucket.
-BLOCK = 2048
+#: Members and tokens of a block of a wide bucket, and tokens that are multiplied at once.
+BLOCK, BLOCK_TOKENS, WIDTH = 2048, 4_000_000, 4096
 
 _SEEDS = mixed(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _TIMES, _PLUS = _SEEDS[:SAMPLES, None] | np.uint64(1), _SEEDS[SAMPLES:, None]
@@ -118,13 +119,17 @@ def alike(pairs: DataFrame, nodes: DataFrame, max_odd: int = MAX_ODD) -> DataFra
     return both.filter(odd_bits(F.col("sketch"), F.col("its")) <= max_odd).select("one", "other")
 
 
-def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Those of the pairs whose full sets are alike. Only texts of these nodes are shuffled, one of each node."""
-    wanted = pairs.select(F.explode(F.array("one", "other")).alias("node")).distinct().join(nodes.select("node", "content"), "node")
-    wanted = stored(wanted, "odd-wanted")
+def texts_of(some: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of some nodes (node, distinct); only texts of these are shuffled, one of each."""
+    wanted = stored(some.join(nodes.select("node", "content"), "node"), "odd-wanted")
     texts = docs.select(F.sha2("text", 256).alias("content"), "text")
     texts = marked_by(texts, "content", hash_filter(wanted, "content")).filter("may").groupBy("content").agg(F.first("text").alias("text"))
-    texts = stored(wanted.join(texts, "content").select("node", "text"), "odd-texts")
+    return wanted.join(texts, "content").select("node", "text")
+
+
+def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Those of the pairs whose full sets are alike."""
+    texts = stored(texts_of(pairs.select(F.explode(F.array("one", "other")).alias("node")).distinct(), nodes, docs), "odd-texts")
     both = pairs.join(texts.toDF("other", "text"), "other").join(texts.toDF("one", "its"), "one")
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,34 +149,72 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
     return both.select("one", "other", "its", "text").mapInArrow(held, "one bigint, other bigint")
 
 
-def _paired(groups: np.ndarray, nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, max_odd: int) -> np.ndarray:
-    """Pairs of nodes of one group (rows are in order of groups) and different roots whose sketches are alike."""
-    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
-    size = np.diff(np.concatenate([first, [len(groups)]]))
-    left = np.repeat(first + size, size) - np.arange(len(groups))  # rows from here to the group's end
-    at, step, found = np.arange(len(groups)), 1, [np.empty((0, 2), np.int64)]
-    while True:
-        at = at[left[at] > step]
-        if not len(at):
-            return np.concatenate(found)
-        for some in np.array_split(at, len(at) // 65536 + 1):
-            some = some[roots[some] != roots[some + step]]
-            some = some[np.bitwise_count(sketches[some] ^ sketches[some + step]).sum(1) <= max_odd]
-            found.append(np.stack([nodes[some], nodes[some + step]], 1))
-        step += 1
-
-
-def met_across(members: DataFrame, max_odd: int = MAX_ODD, block: int = BLOCK) -> DataFrame:
-    """one, other: pairs of different roots, alike by sketch, of each key's members (key, n, node, root, sketch).
-
-    Keys of more than ``block`` members are cut into blocks of about so many, and a member goes along with each
-    other block of its key, so a task's largest group has twice ``block`` members.
+def with_tokens(texts: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """node, tokens: 32 bits of each shingle's key."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [(shingle_set(t.as_py(), shingle) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(tokens, pa.binary())], names=["node", "tokens"])
+
+    return texts.select("node", "text").mapInArrow(cut, "node bigint, tokens binary")
+
+
+def overlaps(tokens: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each two have in common; where tokens of one are equal, rather too many than too few."""
+    row = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+    _, name, often = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+    row, name = row[often[name] > 1], (np.cumsum(often > 1) - 1)[name[often[name] > 1]]  # what one alone has is in no overlap
+    total, order = np.zeros((len(tokens), len(tokens)), np.float32), np.argsort(name, kind="stable")
+    row, name = row[order], name[order]
+    for start in range(0, int(name[-1]) + 1 if len(name) else 0, WIDTH):
+        some = slice(*np.searchsorted(name, (start, start + WIDTH)))
+        here = np.bincount(row[some] * WIDTH + name[some] - start, minlength=len(tokens) * WIDTH).reshape(-1, WIDTH).astype(np.float32)
+        total += here @ here.T
+    return total
+
+
+def linked_across(nodes: np.ndarray, roots: np.ndarray, sketches: np.ndarray, tokens: list[np.ndarray], percent: int = PERCENT, max_odd: int = MAX_ODD) -> list[tuple[int, int]]:
+    """Links between different roots of one bucket, enough to join the roots that any two of its nodes link.
+
+    Only nodes with a sketch like that of a node of another root are looked at.
+    """
+    at = np.zeros(len(nodes), bool)
+    for i in range(len(nodes) - 1):
+        alike_ = (np.bitwise_count(sketches[i] ^ sketches[i + 1 :]).sum(1) <= max_odd) & (roots[i + 1 :] != roots[i])
+        at[i + 1 :] |= alike_
+        at[i] |= alike_.any()
+    if not at.any():
+        return []
+    at = np.flatnonzero(at)
+    tokens, roots, size = [tokens[i] for i in at], roots[at].tolist(), np.array([len(tokens[i]) for i in at])
+    shared = overlaps(tokens)
+    hits = np.argwhere(np.triu(100 * shared >= percent * (size[:, None] + size - shared), 1))
+    root, found = {r: r for r in roots}, []
+
+    def top(r: int) -> int:
+        while root[r] != r:
+            root[r] = r = root[root[r]]
+        return r
+
+    for a, b in hits.tolist():
+        if (x := top(roots[a])) != (y := top(roots[b])):
+            root[x] = y
+            found.append((int(nodes[at[a]]), int(nodes[at[b]])))
+    return found
+
+
+def met_across(members: DataFrame, percent: int = PERCENT, max_odd: int = MAX_ODD, block: int = BLOCK, tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """one, other: links between different roots among each key's members (key, n, all, node, root, sketch, tokens).
+
+    Keys of more than ``block`` members or ``tokens`` tokens (n and all) are cut into blocks of about so many, and
+    a member goes along with each other block of its key, so a group has twice ``block`` members or tokens at most.
     """
-    blocks = F.ceil(F.col("n") / block).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("all") / tokens)).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = members.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("met"), "node", "root", "sketch")
     # a group's number is a hash: where two groups share one, their members are only compared once more
+    dealt = dealt.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("met"), "node", "root", "sketch", "tokens")
     dealt = dealt.repartition("met").sortWithinPartitions("met", "node")
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,35 +222,43 @@ def met_across(members: DataFrame, max_odd: int = MAX_ODD, block: int = BLOCK) -
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("met", "node", "root")]
-            now.append(batch.column("sketch").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1))
-            rest = now if rest is None else [np.concatenate(x) for x in zip(rest, now, strict=True)]
-            cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last group may go on in the next batch
+            table = pa.Table.from_batches([batch])
+            rest = table if rest is None else pa.concat_tables([rest, table])
+            groups = rest.column("met").to_numpy()
+            cut = int(np.searchsorted(groups, groups[-1]))  # the last group may go on in the next batch
             if cut:
-                yield from told([x[:cut] for x in rest])
-                rest = [x[cut:] for x in rest]
+                yield told(rest.slice(0, cut))
+                rest = rest.slice(cut)
         if rest is not None:
-            yield from told(rest)
+            yield told(rest)
 
-    def told(arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        pairs = np.unique(np.sort(_paired(*arrays, max_odd), axis=1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["one", "other"])
+    def told(table: pa.Table) -> pa.RecordBatch:
+        groups, nodes, roots = (table.column(c).to_numpy() for c in ("met", "node", "root"))
+        sketches = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(groups), -1)
+        held = table.column("tokens").combine_chunks()
+        ends, found = [*np.flatnonzero(groups[1:] != groups[:-1]) + 1, len(groups)], []
+        for first, last in zip([0, *ends[:-1]], ends, strict=True):
+            some = slice(int(first), int(last))
+            if len(np.unique(roots[some])) > 1:
+                found += linked_across(nodes[some], roots[some], sketches[some], [np.frombuffer(held[i].as_buffer(), np.uint32) for i in range(some.start, some.stop)], percent, max_odd)
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["one", "other"])
 
-    return dealt.mapInArrow(met, "one bigint, other bigint").distinct()
+    return dealt.mapInArrow(met, "one bigint, other bigint").select(F.least("one", "other").alias("one"), F.greatest("one", "other").alias("other")).distinct()
 
 
 def links(nodes: DataFrame, docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, max_odd: int = MAX_ODD, block: int = BLOCK) -> DataFrame:
-    """one, other: confirmed links of nodes (node, content, keys, sketch), enough to join all that are linked."""
-    keyed = stored(nodes.select("node", F.explode("keys").alias("key")), "odd-keys")
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("one")).filter("n > 1")
-    shared = stored(keyed.join(buckets, "key"), "odd-buckets")
+    """one, other: confirmed links of nodes (node, content, size, keys, sketch), enough to join all that are linked."""
+    keyed = stored(nodes.select("node", "size", F.explode("keys").alias("key")), "odd-keys")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("node").alias("one")).filter("n > 1")
+    shared = stored(keyed.join(buckets, "key").select("key", "n", "all", "one", "node"), "odd-buckets")
     starred = stored(alike(shared.filter("node <> one").select("one", F.col("node").alias("other")).distinct(), nodes, max_odd), "odd-stars")
     linked = stored(confirmed(starred, nodes, docs, shingle, percent), "odd-links")
     rooted = shared.join(components(linked), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    rooted = stored(rooted.select("key", "n", "node", "root"), "odd-rooted")
-    mixed_ = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
-    members = rooted.join(mixed_, "key").join(nodes.select("node", "sketch"), "node")
-    across = stored(met_across(members, max_odd, block).join(starred, ["one", "other"], "left_anti"), "odd-across")
+    rooted = stored(rooted.select("key", "n", "all", "node", "root"), "odd-rooted")
+    several = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("key")
+    members = stored(rooted.join(several, "key"), "odd-members")
+    full = with_tokens(texts_of(members.select("node").distinct(), nodes, docs), shingle).join(nodes.select("node", "sketch"), "node")
+    across = stored(met_across(members.join(stored(full, "odd-tokens"), "node"), percent, max_odd, block), "odd-across")
     return linked.unionByName(confirmed(across, nodes, docs, shingle, percent))
 
 
@@ -215,7 +266,7 @@ def odd_sketch_report(docs: DataFrame, shingle: int = SHINGLE, percent: int = PE
     """doc_id, n_shingles, component_id, kept of each row."""
     docs = docs.select("doc_id", "text")
     rows = stored(signatures(docs, shingle), "odd-rows")
-    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min("content").alias("content"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    sets = rows.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("low"), F.min("content").alias("content"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     nodes = stored(sets.withColumn("node", F.monotonically_increasing_id()), "odd-nodes")  # stored: numbers stay as they are
     of = components(links(nodes, docs, shingle, percent, max_odd, block))
     rooted = nodes.select("set_key", "low", "node").join(of, "node", "left").withColumn("root", F.coalesce("root", "node"))
