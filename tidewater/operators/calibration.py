@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp, col, expected_max_sharpe, probabilistic_sharpe
@@ -48,28 +44,57 @@ def isotonic(rows: DataFrame, probability: str, outcome: str) -> DataFrame:
     return model.transform(known).drop("_p", "_y")
 
 
+def _at(means: Column, share: float) -> Column:
+    return F.get(F.array_sort(means), F.floor(F.size(means) * share).cast("int"))
+
+
+def block_bootstrap(series: DataFrame, order: str, value: str, by: list[str] | None = None, block: int = 20, iterations: int = 1000, seed: int = 42) -> DataFrame:
+    """Per group of ``by`` n, the mean of a series, its 95 % interval by moving blocks (lower, upper), and p_value.
+
+    p_value is the share of iterations whose mean is as far from the mean as that is from zero, one added to both. A
+    block's sum is the difference of two running sums, so an iteration is n / block rows that join them by place; starts
+    are hashes of seed, group, iteration and number, so reruns agree. A series of one block at most has no interval
+    beside its mean; its p_value is that of blocks of its own length, 1 below three values.
+    """
+    by = by or []
+    known = series.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    w = Window.partitionBy(*by)
+    runs = known.select(*by, F.row_number().over(w.orderBy(order)).alias("place"), F.sum(value).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    whole = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean")).filter("n > 0").withColumn("length", F.least(F.lit(block), "n").cast("int"))
+    runs = runs.unionByName(whole.select(*by, F.lit(0).alias("place"), F.lit(0.0).alias("run")))
+    draws = whole.withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1)))).withColumn("k", F.explode(F.expr("sequence(0, CAST(ceil(n / length) AS INT) - 1)")))
+    first = F.pmod(F.xxhash64(F.lit(seed), *by, "iteration", "k"), F.col("n") - F.col("length") + 1).cast("int")
+    draws = draws.withColumn("first", first).withColumn("last", F.col("first") + F.least("length", F.col("n") - F.col("k") * F.col("length")).cast("int"))
+    side = lambda c: runs.select(*by, F.col("place").alias(c), F.col("run").alias(f"{c}_run"))
+    drawn = draws.join(side("first"), [*by, "first"]).join(side("last"), [*by, "last"])
+    means = drawn.groupBy(*by, "iteration").agg(F.first("n").alias("n"), F.first("mean").alias("mean"), (F.sum(F.col("last_run") - F.col("first_run")) / F.first("n")).alias("m"))
+    far = F.count_if(F.abs(F.col("m") - F.col("mean")) >= F.abs("mean"))
+    out = means.groupBy(*by).agg(F.first("n").alias("n"), F.first("mean").alias("mean"), F.collect_list("m").alias("ms"), ((far + 1) / (F.count("*") + 1)).alias("p"))
+    inside = lambda share: F.when(F.col("n") > block, _at(F.col("ms"), share)).otherwise(F.col("mean"))
+    return out.select(*by, "n", inside(0.025).alias("lower"), "mean", inside(0.975).alias("upper"), F.when(F.col("n") >= 3, F.col("p")).otherwise(1.0).alias("p_value"))
+
+
 def bootstrap_mean(series: DataFrame, order: str, value: str, block: int = 20, iterations: int = 1000, seed: int = 42) -> DataFrame:
-    """Mean of a series with its 95 % interval by moving blocks: lower, mean, upper.
+    """Mean of a series with its 95 % interval by moving blocks: lower, mean, upper; zeros without values."""
+    told = block_bootstrap(series, order, value, None, block, iterations, seed)
+    none = told.sparkSession.range(1).join(told.select("lower", "mean", "upper"), F.lit(True), "left")
+    return none.select(*[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("lower", "mean", "upper")])
+
+
+def cluster_bootstrap(rows: DataFrame, by: list[str], cluster: str, value: str, iterations: int = 2000, seed: int = 42, least: int = 8) -> DataFrame:
+    """Per group of ``by`` n, clusters, mean, median and the mean's 95 % interval (lower, upper) by drawing clusters with replacement.
 
-    series has one row a date, so its values travel with the tasks; the iterations are spread over tasks and each
-    draws from its own number, so reruns agree. A series of one block at most has no interval beside its mean.
+    Only sums by cluster are drawn: an iteration is as many seeded hashes as there are clusters, joined to the sums
+    by place and added up where they arise. Fewer than ``least`` clusters have no interval.
     """
-    values = np.array([r[0] for r in series.orderBy(order).select(value).collect()], float)
-    n = len(values)
-
-    def means(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for i in batch["id"]:
-                starts = np.random.default_rng([seed, int(i)]).integers(0, n - block + 1, -(-n // block))
-                out.append(values[(starts[:, None] + np.arange(block)).ravel()[:n]].mean())
-            yield pd.DataFrame({"m": out})
-
-    spark, point = series.sparkSession, float(values.mean()) if n else 0.0
-    if n <= block:
-        return spark.range(1).select(*[F.lit(point).alias(c) for c in ("lower", "mean", "upper")])
-    place = lambda share: F.get(F.array_sort(F.collect_list("m")), F.lit(int(share * iterations)))
-    return spark.range(iterations).mapInPandas(means, "m double").agg(place(0.025).alias("lower"), F.lit(point).alias("mean"), place(0.975).alias("upper"))
+    known = rows.filter(F.col(value).isNotNull() & ~F.isnan(value))
+    told = known.groupBy(*by).agg(F.count("*").alias("n"), F.count_distinct(cluster).alias("clusters"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    sums = known.groupBy(*by, cluster).agg(F.sum(value).alias("s"), F.count("*").alias("c")).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(cluster)) - 1).drop(cluster)
+    draws = told.filter(F.col("clusters") >= least).select(*by, "clusters", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))).alias("iteration"))
+    draws = draws.withColumn("k", F.explode(F.expr("sequence(0, CAST(clusters AS INT) - 1)"))).select(*by, "iteration", F.pmod(F.xxhash64(F.lit(seed), *by, "iteration", "k"), F.col("clusters")).cast("int").alias("place"))
+    means = draws.join(sums, [*by, "place"]).groupBy(*by, "iteration").agg((F.sum("s") / F.sum("c")).alias("m"))
+    bounds = means.groupBy(*by).agg(F.collect_list("m").alias("ms")).select(*by, _at(F.col("ms"), 0.025).alias("lower"), _at(F.col("ms"), 0.975).alias("upper"))
+    return told.join(bounds, by, "left")
 
 
 def deflated_sharpe(trials: DataFrame) -> DataFrame:
