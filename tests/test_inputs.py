@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions.columns import bsm
-from tidewater.operators import calibration, options
+from tidewater.operators import calibration, events, options
 from tidewater.sources import tables
 from tidewater.sources.facts import facts_from_json
 
@@ -96,3 +96,17 @@ def test_block_bootstrap(spark):
     assert got["drift"]["p_value"] == pytest.approx(1 / 1001) and got["noise"]["p_value"] > 0.05 and got["two"]["p_value"] == 1.0
     assert got["short"]["lower"] == got["short"]["upper"] == 1.0
     assert tuple(calibration.bootstrap_mean(frame.limit(0), "i", "v").first()) == (0.0, 0.0, 0.0)
+
+
+def test_late_labels(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    bars = spark.createDataFrame([("a", day(k), 100.0 + k) for k in range(0, 60)] + [("z", day(k), 0.0) for k in range(60)], "ticker string, date date, close double")
+    log = spark.createDataFrame([("a", day(0), 1.0), ("a", day(20), 2.0), ("a", day(45), 3.0), ("a", day(-400), 4.0), ("b", day(0), 5.0), ("z", day(0), 6.0)], "ticker string, date date, predicted double")
+    told = lambda log, k: {(r["ticker"], r["date"]): (r["realized"], r["status"]) for r in events.reconciled(log, bars, str(day(k))).collect()}
+    early = told(log, 29)
+    assert early[("a", day(0))] == (None, "pending") and ("a", day(-400)) not in early
+    then = told(log, 45)
+    assert then[("a", day(0))] == (20.0, "realized") and then[("a", day(20))] == (None, "pending") and then[("b", day(0))][1] == then[("z", day(0))][1] == "pending"
+    # what is realized stays so, also when the same bars come again, and what never is goes in the end
+    again = events.reconciled(events.reconciled(log, bars, str(day(45))).drop("status"), bars, str(day(380)))
+    assert {(r["ticker"], r["date"], r["status"]) for r in again.collect()} == {("a", day(0), "realized"), ("a", day(20), "realized"), ("a", day(45), "pending")}

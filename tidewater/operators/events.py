@@ -34,3 +34,21 @@ def outcome_study(rows: DataFrame, kind: str, outcome: str, day: str) -> DataFra
     """Per kind of event how often it occurs, on how many days, and what follows; rows without an outcome are left out."""
     hits = F.avg(F.when(F.col(outcome) > 0, 1.0).otherwise(0.0))
     return rows.filter(F.col(outcome).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(day).alias("n_days"), F.avg(outcome).alias("mean"), F.median(outcome).alias("median"), hits.alias("hit_rate"))
+
+
+def reconciled(log: DataFrame, bars: DataFrame, today, steps: int = 20, wait: int = 30, give_up: int = 370) -> DataFrame:
+    """log (ticker, date, others) with realized (percent), realized_at and status on the day ``today``.
+
+    A prediction that is ``wait`` days old is realized if there is a bar of its own date and one ``steps`` bars later; it is
+    pending before that and as long as one is missing, and left out when it is pending after ``give_up`` days. Predictions
+    that came realized stay as they are. bars: ticker, date, close; one row a ticker and date, and later bars than today do
+    not count.
+    """
+    w = Window.partitionBy("ticker").orderBy("date")
+    seen = bars.filter(F.col("date") <= F.lit(today).cast("date")).select("ticker", "date", "close", F.lead("close", steps).over(w).alias("end"), F.lead("date", steps).over(w).alias("end_date"))
+    rows = log if "realized" in log.columns else log.withColumns({"realized": F.lit(None).cast("double"), "realized_at": F.lit(None).cast("date")})
+    rows = rows.join(seen, ["ticker", "date"], "left").withColumn("age", F.datediff(F.lit(today).cast("date"), "date"))
+    due = F.col("realized").isNull() & F.col("age").between(wait, give_up) & (F.col("close") > 0) & F.col("end").isNotNull()
+    rows = rows.withColumn("realized_at", F.when(due, F.col("end_date")).otherwise(F.col("realized_at"))).withColumn("realized", F.when(due, (F.col("end") - F.col("close")) / F.col("close") * 100).otherwise(F.col("realized")))
+    rows = rows.filter(F.col("realized").isNotNull() | (F.col("age") <= give_up)).drop("close", "end", "end_date", "age")
+    return rows.withColumn("status", F.when(F.col("realized").isNotNull(), "realized").otherwise("pending"))

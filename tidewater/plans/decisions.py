@@ -111,11 +111,11 @@ def sector_decisions(spark, sf_dir):
     return decisions.sector_scores(scored(spark, sf_dir, "base"))
 
 
-#: The fixture's event types in code point order stand for these actions.
-STANDING = ("Accumulate", "Buy Now", "Hold", "Sell", "Trim")
-_KINDS = """WITH names AS (SELECT event_type, ['Accumulate', 'Buy Now', 'Hold', 'Sell', 'Trim'][row_number() OVER (ORDER BY event_type)] AS action FROM (SELECT DISTINCT event_type FROM events)),
+#: Actions that the fixture's event types stand for; any other type is Hold.
+STANDING = {"click": "Accumulate", "error": "Buy Now", "purchase": "Hold", "signup": "Sell", "view": "Trim"}
+_KINDS = f"""WITH named AS (SELECT *, CASE {' '.join(f"WHEN event_type = '{t}' THEN '{a}'" for t, a in STANDING.items())} ELSE 'Hold' END AS action FROM events),
 moves AS (SELECT user_id, event_id, value, action, lag(action) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before,
-  lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value, CAST(ts AS DATE) AS day FROM events JOIN names USING (event_type)),
+  lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_value, CAST(ts AS DATE) AS day FROM named),
 sides AS (SELECT *, CASE WHEN before = 'Hold' THEN 'neutral' WHEN before IN ('Buy Now', 'Accumulate') THEN 'bullish' ELSE 'bearish' END AS a,
   CASE WHEN action = 'Hold' THEN 'neutral' WHEN action IN ('Buy Now', 'Accumulate') THEN 'bullish' ELSE 'bearish' END AS b FROM moves WHERE before IS NOT NULL),
 kinds AS (SELECT *, CASE WHEN a = b THEN 'stay-' || a WHEN b = 'bullish' THEN 'entry' WHEN a = 'bullish' AND b = 'bearish' THEN 'exit'
@@ -124,9 +124,8 @@ kinds AS (SELECT *, CASE WHEN a = b THEN 'stay-' || a WHEN b = 'bullish' THEN 'e
 
 def _kinds(spark, sf_dir) -> DataFrame:
     log = table(spark, sf_dir, "events")
-    types = sorted(r[0] for r in log.select("event_type").distinct().collect())  # five types
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    log = log.withColumn("action", decisions.mapped("event_type", dict(zip(types, STANDING, strict=False))))
+    log = log.withColumn("action", F.coalesce(decisions.mapped("event_type", STANDING), F.lit("Hold")))
     log = log.withColumns({"before": F.lag("action").over(w), "next_value": F.lead("value").over(w), "day": F.to_date("ts")}).filter("before is not null")
     return log.withColumn("kind", decisions.transition_kind("before", "action"))
 

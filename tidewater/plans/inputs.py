@@ -141,3 +141,14 @@ def feature_p_values(spark, sf_dir):
     rows = momentum_panel(spark, sf_dir)
     each = [panel.information_coefficients(rows.withColumn("x", c), "x", "fwd_20d").select(F.lit(n).alias("feature"), "date", "ic") for n, c in (("momentum", F.col("momentum_20d")), ("reversal", -F.col("momentum_20d")), ("size", F.abs("momentum_20d")))]
     return rounded(calibration.block_bootstrap(each[0].unionByName(each[1]).unionByName(each[2]), "date", "ic", ["feature"]))
+
+
+@query(BARS + f""", p AS (SELECT ticker, date, momentum AS predicted FROM (SELECT ticker, date, (close / lag(close, 5) OVER ({W}) - 1) * 100 AS momentum FROM bars) WHERE momentum IS NOT NULL AND date BETWEEN DATE '1996-01-01' AND DATE '1997-06-30'),
+b AS (SELECT ticker, date, close, lead(close, 20) OVER ({W}) AS e, lead(date, 20) OVER ({W}) AS at_end FROM bars WHERE date <= DATE '1997-06-30'),
+j AS (SELECT p.*, date_diff('day', p.date, DATE '1997-06-30') AS age, CASE WHEN date_diff('day', p.date, DATE '1997-06-30') BETWEEN 30 AND 370 THEN (e - close) / close * 100 END AS realized, at_end FROM p LEFT JOIN b USING (ticker, date))
+SELECT ticker, date, round(predicted, 6) AS predicted, round(realized, 6) AS realized, CASE WHEN realized IS NOT NULL THEN at_end END AS realized_at, CASE WHEN realized IS NULL THEN 'pending' ELSE 'realized' END AS status FROM j WHERE realized IS NOT NULL OR age <= 370""")
+def late_labels(spark, sf_dir):
+    """Predictions of a year and a half as they stand at its end: old ones that were never realized are gone."""
+    rows = tables.bars(spark, sf_dir)
+    log = rows.select("ticker", "date", ((F.col("close") / F.lag("close", 5).over(panel.by_ticker()) - 1) * 100).alias("predicted")).filter("predicted is not null and date between '1996-01-01' and '1997-06-30'")
+    return rounded(events.reconciled(log, rows, "1997-06-30"))

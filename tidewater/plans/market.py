@@ -99,12 +99,10 @@ def relative_labels(spark, sf_dir):
 @query(PANEL + """, s AS (SELECT date, count(*) n, sum(momentum_20d) s, sum(momentum_20d * momentum_20d) ss, avg(momentum_20d) mu, stddev_pop(momentum_20d) sd FROM known GROUP BY date),
 e AS (SELECT *, sum(n) OVER u N2, sum(s) OVER u S2, sum(ss) OVER u SS2 FROM s WINDOW u AS (ORDER BY date ROWS UNBOUNDED PRECEDING))
 SELECT ticker, date, round((momentum_20d - CASE WHEN n >= 5 THEN mu ELSE S2 / N2 END) / greatest(CASE WHEN n >= 5 THEN sd ELSE sqrt(greatest(SS2 / N2 - (S2 / N2) ** 2, 0)) END, 1e-6), 6) AS z
-FROM known JOIN e USING (date) WHERE N2 > 1""")
+FROM known JOIN e USING (date)""")
 def cross_section_z(spark, sf_dir):
     rows = momentum_panel(spark, sf_dir).filter("momentum_20d is not null and fwd_20d is not null")
-    first = rows.groupBy("date").count().orderBy("date").limit(1).filter("count = 1").select("date")
-    z = panel.zscored(rows, "momentum_20d", "z").select("ticker", "date", "z")
-    return rounded(z.join(F.broadcast(first), "date", "left_anti").select("ticker", "date", "z"))
+    return rounded(panel.zscored(rows, "momentum_20d", "z").select("ticker", "date", "z"))
 
 
 @query(PANEL + """ SELECT ticker, date, round(CASE WHEN count(*) OVER d <= 1 THEN 50 ELSE (rank() OVER (PARTITION BY date ORDER BY momentum_20d) - 1 + (count(*) OVER (PARTITION BY date, momentum_20d) - 1) / 2.0) / (count(*) OVER d - 1) * 100 END, 6) AS percentile
