@@ -363,6 +363,13 @@ def test_language_sample_keeps_rare_languages(spark):
     assert got["rare"] == 1 and 60 < got["en"] < 140 and 60 < got["fr"] < 140
 
 
+def test_language_sample_of_null_and_repeated_ids(spark):
+    for doc_id in ("CAST(NULL AS BIGINT)", "5L"):
+        for n in (1000, 1900, 2900):
+            rows = spark.range(n).selectExpr(f"{doc_id} AS doc_id", "concat('the word ', id) AS text", "'en' AS lang")
+            assert 220 < language_id.sampled(rows, 300)[0].count() < 380
+
+
 def test_language_held_out_accuracy(spark):
     from pathlib import Path
 

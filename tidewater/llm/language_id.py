@@ -55,7 +55,7 @@ def sampled(rows: DataFrame, a_language: int = FIT_ROWS) -> tuple[DataFrame, lis
     langs = sorted(total)
     of = F.create_map(*[F.lit(x) for lang in langs for x in (lang, total[lang])]) if langs else F.create_map(F.lit(""), F.lit(1))
     of = F.get(F.map_values(F.map_filter(of, lambda lang, n: lang == F.col("lang"))), F.lit(0)).cast("long")
-    return rows.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), of) < a_language), langs
+    return rows.filter(F.pmod(F.xxhash64("doc_id", "text", F.lit(7)), of) < a_language), langs  # by text too: identifiers may be null or repeated
 
 
 def _grams(padded: Column, k: int) -> Column:
