@@ -1,10 +1,13 @@
 """Brokers' files, option strategies and groups of names: cases of real exports and edges."""
 
 import datetime as dt
+import math
+from statistics import NormalDist
 
 import pytest
+from pyspark.sql import functions as F
 
-from tidewater.operators import groups, strategies
+from tidewater.operators import groups, paths, strategies
 from tidewater.sources import brokers
 
 
@@ -102,3 +105,50 @@ def test_benchmarks_and_cohorts(spark):
     rows = spark.createDataFrame([("1", "b", "Tech", 60.0), ("1", "a", "Tech", 80.0), ("2", "c", "Tech", 10.0), ("2", "d", None, 20.0), ("3", "e", "Tech", 1.0), ("", "f", "Tech", 1.0), (None, "g", "Tech", 1.0)], "c string, t string, s string, x double")
     got = sorted(tuple(r) for r in groups.cohorts(rows, "c", "t", "s", "x").collect())
     assert got == [("1", "tech cohort (1)", 2, ["a", "b"], 70.0, True), ("2", "cross-sector cohort (2)", 2, ["c", "d"], 15.0, False)]
+
+
+def plain_uniform(n, seed=12345):
+    """The generator one draw after another."""
+    state, out = seed, []
+    low = lambda x: x & 0xFFFFFFFF
+    for _ in range(n):
+        state = low(state + 0x6D2B79F5)
+        t = low((state ^ state >> 15) * (state | 1))
+        t ^= low(t + low((t ^ t >> 7) * (t | 61)))
+        out.append((t ^ t >> 14) / 2**32)
+    return out
+
+
+def test_draws_skip_ahead(spark):
+    rows = spark.createDataFrame([(n,) for n in (999, 0, 5, 1)], "n int")
+    want = plain_uniform(1000)
+    assert {r["n"]: r["u"] for r in paths.with_uniform(rows, "u", F.col("n"), 12345).collect()} == {n: want[n] for n in (999, 0, 5, 1)}
+
+
+def test_forecasts(spark):
+    rows = [("low", 0.1, 0.2), ("zero", 0.0, 0.0), ("none", None, 0.2)]
+    make = lambda n: spark.createDataFrame(rows, "key string, drift double, volatility double").repartition(n)
+    one, two = ({r["key"]: r for r in paths.forecast(paths.path_ends(make(n), 4000, 20)).collect()} for n in (1, 4))
+    assert set(one) == {"low", "zero"} and (one["zero"]["mean_return_pct"], one["zero"]["p95"], one["zero"]["prob_up"]) == (0, 0, 0)
+    t, low = 20 / 252, one["low"]
+    normal, spread = NormalDist(), 0.2 * t**0.5
+    end = lambda q: (math.exp((0.1 - 0.02) * t + spread * normal.inv_cdf(q)) - 1) * 100
+    assert low["mean_return_pct"] == pytest.approx((math.exp(0.1 * t) - 1) * 100, abs=3 * 100 * spread / 4000**0.5)
+    assert all(low[f"p{round(q * 100):02d}"] == pytest.approx(end(q), abs=0.6) for q in paths.QUANTILES)
+    assert all(two["low"][c] == pytest.approx(low[c], abs=1e-9) for c in low.asDict() if c != "key")
+    draws = plain_uniform(40)
+    first = (math.exp(sum(0.08 / 252 + 0.2 * 252**-0.5 * normal.inv_cdf(u) for u in draws[20:])) - 1) * 100
+    got = paths.path_ends(make(1), 2, 20).filter("key = 'low' and path = 1").first()["return_pct"]
+    assert got == pytest.approx(first, abs=1e-6)
+    jumping = make(2).withColumns({"intensity": F.lit(30.0), "jump_mean": F.lit(-0.1), "jump_vol": F.lit(0.01)})
+    jumped = {r["key"]: r for r in paths.forecast(paths.path_ends(jumping, 4000, 20)).collect()}["low"]
+    assert jumped["mean_return_pct"] == pytest.approx(low["mean_return_pct"], abs=1.2) and jumped["p05"] < low["p05"] - 10
+
+
+def test_low_discrepancy(spark):
+    rows = spark.range(6)
+    a, b = paths.low_discrepancy(F.col("id"))
+    got = rows.select("id", a.alias("a"), b.alias("b"), paths.quasi_uniform(F.col("id")).alias("q"), paths.quasi_uniform(F.col("id"), 1).alias("r")).orderBy("id").collect()
+    assert [r["a"] for r in got] == [0, 0.5, 0.25, 0.75, 0.125, 0.625]
+    assert [r["b"] for r in got] == pytest.approx([1 / 3, 2 / 3, 1 / 9, 4 / 9, 7 / 9, 2 / 9])
+    assert all(0 < r["q"] < 1 and 0 < r["r"] < 1 for r in got) and len({r["q"] for r in got}) == 6

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import groups
+from ..functions import columns as fx
+from ..operators import groups, panel, paths
 from ..operators import strategies as st
 from ..operators.prices import price_metrics as metrics_of
 from ..sources import brokers, tables
 from .decisions import scored, scored_sql
 from .features import _TAIL, _clamp
-from .market import rounded
+from .market import RETS, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -210,3 +211,59 @@ def correlation_cohorts(spark, sf_dir):
     number = F.when(k % 40 < 20, k % 20).otherwise(F.col("s_nationkey")).cast("string")
     rows = tables.table(spark, sf_dir, "supplier").select(F.when(k % 7 > 0, F.concat(F.lit("c"), (k % 40).cast("string"))).alias("c"), F.concat(F.lit("Nation "), number).alias("sector"), "s_name", (F.abs("s_acctbal") / 80).alias("strength"))
     return rounded(groups.cohorts(rows, "c", "s_name", "sector", "strength").withColumn("tickers", F.array_join("tickers", ",")))
+
+
+_PATHS, _HORIZON = 300, 20
+
+
+def _horner(x: str, coefficients) -> str:
+    out = str(coefficients[0])
+    for c in coefficients[1:]:
+        out = f"({out}) * {x} + {c}"
+    return f"({out})"
+
+
+def _inverse_sql(u: str) -> str:
+    p = f"greatest(1e-9, least(1 - 1e-9, {u}))"
+    tail = lambda q: f"{_horner(q, fx.INV_C)} / {_horner(q, fx.INV_D)}"
+    low, high, mid = f"sqrt(-2 * ln({p}))", f"sqrt(-2 * ln(1 - {p}))", f"({p} - 0.5)"
+    return f"CASE WHEN {p} < {fx.INV_LOW} THEN {tail(low)} WHEN {p} > {1 - fx.INV_LOW} THEN -({tail(high)}) ELSE {_horner(f'({mid} * {mid})', fx.INV_A)} * {mid} / {_horner(f'({mid} * {mid})', fx.INV_B)} END"
+
+
+def _draw_sql(n: str, k: int) -> str:
+    """The generator once more, in whole numbers of 128 bits."""
+    low = lambda e: f"CAST(({e}) % 4294967296 AS HUGEINT)"
+    state = low(f"12345 + (CAST({n} AS HUGEINT) + 1) * {0x6D2B79F5}")
+    return f""", s{k} AS (SELECT *, {state} AS a FROM {f't{k - 1}' if k else 'steps'}), m{k} AS (SELECT * EXCLUDE (a), {low('xor(a, a >> 15) * (a | 1)')} AS b FROM s{k}),
+n{k} AS (SELECT * EXCLUDE (b), xor(b, {low(f"b + {low('xor(b, b >> 7) * (b | 61)')}")}) AS c FROM m{k}), t{k} AS (SELECT * EXCLUDE (c), CAST(xor(c, c >> 14) AS DOUBLE) / 4294967296 AS u{k} FROM n{k})"""
+
+
+def _forecast_sql(jumps: bool) -> str:
+    draws = 3 if jumps else 1
+    drift = "drift - volatility * volatility / 2" + (" - 24 * (exp(-0.02 + 0.5 * 0.05 * 0.05) - 1)" if jumps else "")
+    jump = f" + CASE WHEN u1 < 24 / 252.0 THEN -0.02 + 0.05 * ({_inverse_sql('u2')}) ELSE 0 END" if jumps else ""
+    return (
+        RETS + f""", v AS (SELECT ticker AS key, avg(ret) AS drift, least(stddev_pop(ret) * sqrt(252), 0.6) AS volatility FROM rets GROUP BY ticker),
+steps AS (SELECT *, path * {_HORIZON} + day AS n FROM v CROSS JOIN range({_PATHS}) AS p(path) CROSS JOIN range({_HORIZON}) AS d(day))"""
+        + "".join(_draw_sql(f"n * {draws} + {k}", k) for k in range(draws))
+        + f""", e AS (SELECT key, path, (exp(sum(({drift}) / 252 + volatility / sqrt(252) * ({_inverse_sql('u0')}){jump})) - 1) * 100 AS r FROM t{draws - 1} GROUP BY key, path)
+SELECT key, round(avg(r), 5) AS mean_return_pct, round(stddev_pop(r), 5) AS sigma_return_pct, {', '.join(f"round(list_sort(list(r))[{int(q * _PATHS) + 1}], 5) AS p{round(q * 100):02d}" for q in paths.QUANTILES)},
+  round(avg((r > 0)::INT), 5) AS prob_up, round(avg((r < -5)::INT), 5) AS prob_down_5pct, round(avg((r < -8)::INT), 5) AS prob_down_8pct, round(avg((r > 5)::INT), 5) AS prob_up_5pct FROM e GROUP BY key"""
+    )
+
+
+def _motions(spark, sf_dir):
+    rets = tables.bars(spark, sf_dir).withColumn("ret", F.col("close") / F.lag("close").over(panel.by_ticker()) - 1).filter("ret is not null")
+    return rets.groupBy(F.col("ticker").alias("key")).agg(F.avg("ret").alias("drift"), F.least(F.stddev_pop("ret") * F.sqrt(F.lit(252.0)), F.lit(0.6)).alias("volatility"))
+
+
+@query(_forecast_sql(False))
+def simulated_paths(spark, sf_dir):
+    return rounded(paths.forecast(paths.path_ends(_motions(spark, sf_dir), _PATHS, _HORIZON)), 5)
+
+
+@query(_forecast_sql(True))
+def simulated_jumps(spark, sf_dir):
+    """The same with two jumps a month."""
+    rows = _motions(spark, sf_dir).withColumns({"intensity": F.lit(24.0), "jump_mean": F.lit(-0.02), "jump_vol": F.lit(0.05)})
+    return rounded(paths.forecast(paths.path_ends(rows, _PATHS, _HORIZON)), 5)
