@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.operators import groups, paths, strategies
-from tidewater.sources import brokers
+from tidewater.sources import archive, brokers
+from tidewater.streaming import labels, logs
 
 
 def files(spark, **bodies):
@@ -152,3 +153,43 @@ def test_low_discrepancy(spark):
     assert [r["a"] for r in got] == [0, 0.5, 0.25, 0.75, 0.125, 0.625]
     assert [r["b"] for r in got] == pytest.approx([1 / 3, 2 / 3, 1 / 9, 4 / 9, 7 / 9, 2 / 9])
     assert all(0 < r["q"] < 1 and 0 < r["r"] < 1 for r in got) and len({r["q"] for r in got}) == 6
+
+
+def test_archive_replaces_a_snapshot(spark, tmp_path):
+    path, day = str(tmp_path / "archive"), lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    frame = lambda *rows: spark.createDataFrame(rows, "source string, as_of date, ticker string, price double")
+    archive.save_snapshots(frame(("s", day(0), "a", 1.0), ("s", day(0), "b", 2.0), ("s", day(1), "a", 3.0), ("t", day(0), "a", 9.0)), path)
+    archive.save_snapshots(frame(("s", day(0), "a", 5.0)), path)
+    archive.save_snapshots(frame(("s", day(0), "a", 5.0)), path)
+    rows = spark.read.parquet(path)
+    assert sorted((r["source"], r["as_of"], r["price"]) for r in rows.collect()) == [("s", day(0), 5.0), ("s", day(1), 3.0), ("t", day(0), 9.0)]
+    assert {tuple(r) for r in archive.archive_summary(rows).collect()} == {("s", 2, day(0), day(1), 2), ("t", 1, day(0), day(0), 1)}
+    assert [r["price"] for r in archive.newest_snapshots(spark, path, 1).collect()] == [3.0] and archive.newest_snapshots(spark, path, 1, "t").first()["price"] == 9.0
+
+
+def test_ledger(spark):
+    day = lambda k: dt.date(2024, 1, 1) + dt.timedelta(days=k)
+    told = [(day(0), "a", 1, 10.0, 5.0), (day(0), "z", 3, 1.0, 0.0), (day(6), "a", 1, 99.0, 5.0), (day(8), "a", 1, 11.0, 9.0), (day(35), "a", 2, None, 1.0), (day(95), "b", 1, 1.0, 1.0)]
+    got = {r["id"]: r for r in archive.ledger(spark.createDataFrame(told, "as_of date, ticker string, place int, price double, opportunity double"), 2).collect()}
+    first = got["2024-01-01:a"]
+    assert len(got) == 5 and (first["measured_at_5d"], first["return_pct_5d"], first["opportunity_delta_5d"], first["status_5d"]) == (day(8), pytest.approx(10), 4.0, "measured")
+    assert (first["measured_at_20d"], first["return_pct_20d"], first["status_20d"], first["status_60d"], first["return_pct_60d"]) == (day(35), 0.0, "priceMissing", "pending", None)
+    assert len(archive.ledger(spark.createDataFrame(told, "as_of date, ticker string, place int, price double, opportunity double"), 2, 2).collect()) == 2
+
+
+def test_late_labels_as_a_stream(spark, tmp_path):
+    start = dt.datetime(2024, 1, 1)
+    bar = lambda t, k, close, gap=1, predicted=None: (t, k, start + dt.timedelta(days=k * gap), close, predicted)
+    rows = [bar("a", k, 100.0 + k, predicted=float(k)) for k in range(30)] + [bar("slow", k, 10.0, 30, 1.0 if k < 3 else None) for k in range(24)] + [bar("z", 0, 0.0, predicted=7.0), bar("gone", 1, 5.0, predicted=8.0)]
+    rows += [bar("clock", 800 + k, 1.0) for k in range(2)]
+    schema, out = "ticker string, bar int, time timestamp, close double, predicted double", str(tmp_path)
+    ends = (start + dt.timedelta(days=20), start + dt.timedelta(days=400))
+    parts = [[r for r in rows if r[2] < ends[0]], [r for r in rows if ends[0] <= r[2] < ends[1]], [r for r in rows if r[2] >= ends[1]]]
+    for part in parts:  # a stream each time, from where the last one stopped
+        spark.createDataFrame(part, schema).write.mode("append").parquet(f"{out}/source")
+        stream = lambda: spark.readStream.schema(schema).parquet(f"{out}/source")
+        done = logs.run_to_end(labels.realized_labels(stream(), stream().drop("predicted")), spark, out)
+    got = {(r["ticker"], r["predicted"], (r["time"] - start).days): (r["realized"], r["status"]) for r in done.collect()}
+    want = {("a", float(k), k): (pytest.approx(2000 / (100 + k)), "realized") if k < 10 else (None, "expired") for k in range(30)}
+    want |= {("slow", 1.0, 30 * k): (None, "expired") for k in range(3)} | {("z", 7.0, 0): (None, "expired"), ("gone", 8.0, 1): (None, "expired")}
+    assert got == want and done.count() == len(want)

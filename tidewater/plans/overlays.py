@@ -1,4 +1,4 @@
-"""Registered queries on brokers' files, option strategies and groups of names, each with its SQL.
+"""Registered queries on brokers' files, option strategies, groups of names, simulated paths, the ledger and late labels, each with its SQL.
 
 The fixture has no files and no chains, so files are made of customers' purchases, with defects by turns, and chains of
 parts, whose retail price is the spot price.
@@ -6,6 +6,8 @@ parts, whose retail price is the spot price.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,10 +15,12 @@ from ..functions import columns as fx
 from ..operators import groups, panel, paths
 from ..operators import strategies as st
 from ..operators.prices import price_metrics as metrics_of
-from ..sources import brokers, tables
+from ..sources import archive, brokers, tables
+from ..sources.staging import shared_folder
+from ..streaming import labels, logs
 from .decisions import scored, scored_sql
 from .features import _TAIL, _clamp
-from .market import RETS, rounded
+from .market import BARS, RETS, W, rounded
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -267,3 +271,47 @@ def simulated_jumps(spark, sf_dir):
     """The same with two jumps a month."""
     rows = _motions(spark, sf_dir).withColumns({"intensity": F.lit(24.0), "jump_mean": F.lit(-0.02), "jump_vol": F.lit(0.05)})
     return rounded(paths.forecast(paths.path_ends(rows, _PATHS, _HORIZON)), 5)
+
+
+_LEDGER = BARS + """, s AS (SELECT date AS as_of, ticker, CASE WHEN date_diff('day', DATE '1970-01-01', date) % 70 = 0 AND right(ticker, 1) = '3' THEN 0 ELSE close END AS price, volume % 100 AS opportunity FROM bars WHERE date_diff('day', DATE '1970-01-01', date) % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY as_of ORDER BY opportunity DESC, ticker) AS place FROM s),
+k AS (SELECT * FROM r WHERE place <= 10 ORDER BY as_of DESC, place, ticker LIMIT 1000)"""
+
+
+def _snapshots(spark, sf_dir):
+    """Every tenth day's bars, some without a price."""
+    day, bars = F.unix_date("date"), tables.bars(spark, sf_dir)
+    missing = (day % 70 == 0) & (F.right("ticker", F.lit(1)) == "3")
+    return archive.ranked(bars.filter(day % 10 == 0).select(F.col("date").alias("as_of"), "ticker", F.when(missing, 0.0).otherwise(F.col("close")).alias("price"), (F.col("volume") % 100).alias("opportunity")))
+
+
+def _outcome_sql(name: str) -> str:
+    measured = f"o{name}.price > 0 AND k.price > 0"
+    return f"""o{name}.as_of AS measured_at_{name}, round(CASE WHEN o{name}.as_of IS NULL THEN NULL WHEN {measured} THEN (o{name}.price / k.price - 1) * 100 ELSE 0 END, 6) AS return_pct_{name},
+  round(o{name}.opportunity - k.opportunity, 6) AS opportunity_delta_{name}, CASE WHEN o{name}.as_of IS NULL THEN 'pending' WHEN {measured} THEN 'measured' ELSE 'priceMissing' END AS status_{name}"""
+
+
+@query(_LEDGER + f" SELECT k.as_of || ':' || k.ticker AS id, k.as_of, k.ticker, CAST(k.place AS INT) AS place, round(k.price, 6) AS price, k.opportunity, {', '.join(map(_outcome_sql, archive.HORIZONS))} FROM k "
+    + " ".join(f"ASOF LEFT JOIN r o{n} ON k.ticker = o{n}.ticker AND k.as_of + {d} <= o{n}.as_of" for n, d in archive.HORIZONS.items()))
+def recommendation_ledger(spark, sf_dir):
+    """What the first ten names of the newest snapshots came to."""
+    return rounded(archive.ledger(_snapshots(spark, sf_dir), 10, 1000))
+
+
+@query(BARS + f""", n AS (SELECT *, close / lag(close, 5) OVER w - 1 AS predicted, lead(close, 20) OVER w AS e, lead(date, 20) OVER w AS at_end FROM bars WINDOW w AS ({W}))
+SELECT ticker, date, round(predicted, 6) AS predicted, round((e - close) / close * 100, 6) AS realized, at_end AS realized_at, 'realized' AS status FROM n
+WHERE predicted IS NOT NULL AND e IS NOT NULL AND date_diff('day', date, at_end) <= 370
+UNION ALL SELECT ticker, date, round(predicted, 6), NULL, NULL, 'expired' FROM n WHERE predicted IS NOT NULL AND (e IS NULL OR date_diff('day', date, at_end) > 370) AND date + 370 < (SELECT max(date) FROM bars)""")
+def late_label_stream(spark, sf_dir):
+    """All predictions as a stream that is stopped and started again twice, a third of the days each time."""
+    rows = tables.bars(spark, sf_dir).withColumns({"bar": F.row_number().over(panel.by_ticker()), "predicted": F.col("close") / F.lag("close", 5).over(panel.by_ticker()) - 1})
+    rows = rows.select("ticker", "bar", F.col("date").cast("timestamp").alias("time"), "close", "predicted", F.when(F.year("date") < 1995, 0).when(F.year("date") < 1997, 1).otherwise(2).alias("part"))
+    out = f"{shared_folder(spark)}/tidewater/late-{uuid.uuid4().hex}"
+    rows.write.partitionBy("part").parquet(f"{out}/staged")
+    staged = spark.read.parquet(f"{out}/staged")
+    for part in range(3):
+        staged.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{out}/source")
+        stream = lambda: spark.readStream.schema(staged.drop("part").schema).parquet(f"{out}/source")
+        told = labels.realized_labels(stream(), stream().select("ticker", "bar", "time", "close"))
+        done = logs.run_to_end(told, spark, out)
+    return rounded(done.select("ticker", F.to_date("time").alias("date"), "predicted", "realized", F.to_date("realized_at").alias("realized_at"), "status"))
