@@ -7,7 +7,7 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
-from tidewater.operators import groups, paths, strategies
+from tidewater.operators import events, groups, panel, paths, strategies
 from tidewater.sources import archive, brokers
 from tidewater.streaming import labels, logs
 
@@ -193,3 +193,26 @@ def test_late_labels_as_a_stream(spark, tmp_path):
     want = {("a", float(k), k): (pytest.approx(2000 / (100 + k)), "realized") if k < 10 else (None, "expired") for k in range(30)}
     want |= {("slow", 1.0, 30 * k): (None, "expired") for k in range(3)} | {("z", 7.0, 0): (None, "expired"), ("gone", 8.0, 1): (None, "expired")}
     assert got == want and done.count() == len(want)
+
+
+def test_event_risk(spark):
+    rows = [("a", "Shares fall after PROBE, guidance cut", -4.0, 1), ("a", "All is well", None, 3), ("a", None, 2.0, 2), ("b", "quiet", None, None)] + [("c", "lawsuit", 0.0, k) for k in range(20)]
+    got = {r["s"]: r for r in events.event_risk(spark.createDataFrame(rows, "s string, t string, tone double, at int"), "s", "t", "tone", "at").collect()}
+    assert (got["a"]["articles"], got["a"]["negative_articles"], got["a"]["tone"], got["a"]["latest"], got["a"]["pressure_score"]) == (3, 1, -1.0, 3, pytest.approx(48.6))
+    assert got["a"]["event_risk_score"] == pytest.approx((48.6 + 61) / 2) and got["b"]["event_risk_score"] == pytest.approx((36.2 + 50) / 2) and got["c"]["event_risk_score"] == 100
+
+
+def test_one_list_a_date(spark):
+    """Cohorts and serving batches: a date's list is not carried by its rows, null dates and missing values keep theirs."""
+    rows = [(1, f"t{i}", float(i), 9.0, i % 6 > 0) for i in range(12)] + [(2, "x", 1.0, 9.0, True), (2, "y", 1.0, 1.0, True), (None, "n", None, None, True)]
+    frame = spark.createDataFrame(rows, "date int, ticker string, cap double, age double, observed boolean")
+    got = {r["ticker"]: r["cohort"] for r in panel.survivorship_cohorts(frame, "cap", "age", "observed").collect()}
+    small = {f"t{i}" for i in (1, 2, 3)}
+    assert got == {f"t{i}": "noFundamentals" if i % 6 == 0 else "survivorPrivileged" if f"t{i}" in small else "core" for i in range(12)} | {"x": "core", "y": "survivorPrivileged", "n": "core"}
+    values = [(1, f"t{i}", v) for i, v in enumerate((1.0, 2.0, None, 3.0, 4.0))] + [(2, "s", 5.0), (3, "e", None)]
+    got = {r["ticker"]: r["z"] for r in panel.batch_normalized(spark.createDataFrame(values, "date int, ticker string, x double"), "x", "z", 1.0, 2.0).collect()}
+    filled = [1.0, 2.0, 3.0, 3.0, 4.0]
+    level, wide = sum(filled) / 5, (sum((x - 2.6) ** 2 for x in filled) / 5) ** 0.5
+    assert [got[f"t{i}"] for i in range(5)] == pytest.approx([(x - level) / wide for x in filled]) and (got["s"], got["e"]) == (2.0, 0.0)
+    for made in (panel.survivorship_cohorts(frame, "cap", "age", "observed"), panel.batch_normalized(frame, "cap", "z", 0.0, 1.0)):
+        assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import clamp
+
+# Words of bad news.
+NEGATIVE_WORDS = ("probe", "lawsuit", "miss", "warning", "downgrade", "cuts", "cut", "layoff", "fraud", "investigation", "recall", "guidance", "shortfall", "slump", "falls", "drops")
+
 
 def transitions(log: DataFrame, key: str, time: list[str], state: str) -> DataFrame:
     """Rows whose state differs from the one before, with that one; the first row of a key is none."""
@@ -52,3 +57,16 @@ def reconciled(log: DataFrame, bars: DataFrame, today, steps: int = 20, wait: in
     rows = rows.withColumn("realized_at", F.when(due, F.col("end_date")).otherwise(F.col("realized_at"))).withColumn("realized", F.when(due, (F.col("end") - F.col("close")) / F.col("close") * 100).otherwise(F.col("realized")))
     rows = rows.filter(F.col("realized").isNotNull() | (F.col("age") <= give_up)).drop("close", "end", "end_date", "age")
     return rows.withColumn("status", F.when(F.col("realized").isNotNull(), "realized").otherwise("pending"))
+
+
+def negative_words(text: str) -> Column:
+    """How many of the words of bad news occur in the text, inside longer words too; 0 in a null text."""
+    lower = F.lower(F.coalesce(text, F.lit("")))
+    return F.size(F.filter(F.array(*map(F.lit, NEGATIVE_WORDS)), lambda w: F.contains(lower, w)))
+
+
+def event_risk(articles: DataFrame, symbol: str, title: str, tone: str, seen_at: str) -> DataFrame:
+    """Per symbol: its articles, those with bad news, mean tone (0 without any), the latest, pressure and event-risk scores."""
+    out = articles.groupBy(symbol).agg(F.count(F.lit(1)).alias("articles"), F.count_if(negative_words(title) > 0).alias("negative_articles"), F.coalesce(F.avg(tone), F.lit(0.0)).alias("tone"), F.max(seen_at).alias("latest"))
+    out = out.withColumn("pressure_score", clamp(34 + F.col("articles") * 2.2 + F.col("negative_articles") * 8, 0, 100))
+    return out.withColumn("event_risk_score", (F.col("pressure_score") + clamp(50 - F.col("tone") * 5 + F.col("negative_articles") * 6, 0, 100)) / 2)

@@ -149,10 +149,11 @@ def imputed(panel: DataFrame, values: list[str]) -> DataFrame:
 
 def survivorship_cohorts(panel: DataFrame, cap: str, age: str, observed: str, young: float = 3.0) -> DataFrame:
     """cohort: noFundamentals, survivorPrivileged (young, or in the date's lowest fifth of observed caps), core."""
-    caps = F.array_sort(F.collect_list(F.when(F.col(observed), F.col(cap))).over(by_date()))
-    cut = F.when(F.size(caps) >= 10, F.get(caps, F.floor(F.size(caps) * 0.2).cast("int")))
-    small = F.coalesce(F.col(cap) <= cut, F.lit(False))
-    return panel.withColumn("cohort", F.when(~F.col(observed), "noFundamentals").when((F.col(age) < young) | small, "survivorPrivileged").otherwise("core"))
+    caps = F.array_sort(F.collect_list(F.when(F.col(observed), F.col(cap))))
+    cuts = panel.groupBy("date").agg(caps.alias("caps")).select("date", F.when(F.size("caps") >= 10, F.get("caps", F.floor(F.size("caps") * 0.2).cast("int"))).alias("cut"))
+    small = F.coalesce(F.col(observed) & (F.col(cap) <= F.col("cut")), F.lit(False))
+    rows = panel.join(cuts, panel["date"].eqNullSafe(cuts["date"]), "left").drop(cuts["date"])
+    return rows.withColumn("cohort", F.when(~F.col(observed), "noFundamentals").when((F.col(age) < young) | small, "survivorPrivileged").otherwise("core")).drop("cut")
 
 
 def ordinal_correlations(panel: DataFrame, score: str, label: str, least: int = 5) -> DataFrame:
@@ -165,14 +166,16 @@ def ordinal_correlations(panel: DataFrame, score: str, label: str, least: int =
 
 def batch_normalized(panel: DataFrame, value: str, out: str, mean: float, std: float, least: int = 5) -> DataFrame:
     """z within each date with missing values at the date's upper median; by frozen moments on small dates or where all is missing."""
-    n = F.count(F.lit(1)).over(by_date())
-    median = upper_median(F.collect_list(value).over(by_date()))
-    rows = panel.withColumn("n_names", n).withColumn("median", median).withColumn("filled", F.coalesce(value, "median"))
-    level = F.avg("filled").over(by_date())
-    wide = F.greatest(F.stddev_pop("filled").over(by_date()), F.lit(1e-6))
+    dates = panel.groupBy("date").agg(F.count(F.lit(1)).alias("n_names"), F.collect_list(value).alias("known")).withColumn("median", upper_median(F.col("known")))
+    # one list a date, told by three numbers: those without a value stand at the median
+    filled = F.concat("known", F.array_repeat("median", F.col("n_names").cast("int") - F.size("known")))
+    total = lambda f: F.aggregate(filled, F.lit(0.0), lambda acc, x: acc + f(x))
+    dates = dates.withColumn("level", total(lambda x: x) / F.col("n_names"))
+    dates = dates.withColumn("wide", F.greatest(F.sqrt(total(lambda x: F.pow(x - F.col("level"), 2.0)) / F.col("n_names")), F.lit(1e-6))).drop("known")
+    rows = panel.join(dates, panel["date"].eqNullSafe(dates["date"]), "left").drop(dates["date"])
     frozen = (F.coalesce(F.col(value), F.lit(mean)) - mean) / max(1e-12, std)
-    z = F.when((F.col("n_names") < least) | F.col("median").isNull(), frozen).otherwise((F.col("filled") - level) / wide)
-    return rows.withColumn(out, z).drop("n_names", "median", "filled")
+    z = F.when((F.col("n_names") < least) | F.col("median").isNull(), frozen).otherwise((F.coalesce(value, "median") - F.col("level")) / F.col("wide"))
+    return rows.withColumn(out, z).drop("n_names", "median", "level", "wide")
 
 
 def feature_sharpes(panel: DataFrame, values: list[str], label: str, least: int = 10, dates: int = 5) -> DataFrame:

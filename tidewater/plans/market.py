@@ -219,15 +219,46 @@ def false_discoveries(spark, sf_dir):
     return risk.benjamini_hochberg(t.select(F.col("ticker").alias("name"), F.round(F.exp(-F.abs("t")), 9).alias("p")))
 
 
-@query()
+def _erf_sql(z: str) -> str:
+    t = f"(1 / (1 + {fx.ERF_P} * abs({z})))"
+    poly = "0"
+    for a in fx.ERF_A[::-1]:
+        poly = f"(({poly}) * {t} + {a})"
+    return f"(sign({z}) * (1 - {poly} * {t} * exp(-({z}) * ({z}))))"
+
+
+_N = lambda z: f"(0.5 * (1 + {_erf_sql(f'(({z}) / sqrt(2.0))')}))"
+_F = lambda z: f"(exp(-({z}) * ({z}) / 2) / sqrt(2 * pi()))"
+_OPTION = {
+    "call": f"s * {_N('d1')} - k * fall * {_N('d2')}", "put": f"k * fall * {_N('-d2')} - s * {_N('-d1')}", "call_delta": _N("d1"), "put_delta": f"{_N('d1')} - 1",
+    "gamma": f"{_F('d1')} / (s * v * sqrt(t))", "vega": f"s * {_F('d1')} * sqrt(t) / 100", "call_theta": f"(decay - r * k * fall * {_N('d2')}) / 365", "put_theta": f"(decay + r * k * fall * {_N('-d2')}) / 365",
+    "call_rho": f"k * t * fall * {_N('d2')} / 100", "put_rho": f"-k * t * fall * {_N('-d2')} / 100", "prob_above": _N("d2"), "prob_below": f"1 - {_N('d2')}",
+}
+
+
+@query(f"""WITH o AS (SELECT p_partkey, p_retailprice AS s, p_retailprice * 0.95::DOUBLE AS k, 0.5::DOUBLE AS t, 0.045::DOUBLE AS r, 0.25::DOUBLE AS v FROM part),
+d AS (SELECT *, (ln(s / k) + (r + v * v / 2) * t) / (v * sqrt(t)) AS d1, exp(-r * t) AS fall FROM o), e AS (SELECT *, d1 - v * sqrt(t) AS d2, -s * {_F('d1')} * v / (2 * sqrt(t)) AS decay FROM d)
+SELECT p_partkey, {', '.join(f'round({e}, 6) AS {n}' for n, e in _OPTION.items())} FROM e""")
 def option_prices(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("spot"))
     cols = fx.bsm(F.col("spot"), F.col("spot") * 0.95, 0.5, 0.045, 0.25)
     return rounded(rows.select("p_partkey", *[c.alias(n) for n, c in cols.items()]))
 
 
-@query("""SELECT doc_id, len(list_filter(['fraud', 'lawsuit', 'the', 'probe', 'recall', 'downgrade'], lambda k: contains(lower(coalesce(text, '')), k))) AS hits FROM documents""")
+_WORDS = ", ".join(f"'{w}'" for w in events.NEGATIVE_WORDS)
+
+
+@query(f"SELECT doc_id, len(list_filter([{_WORDS}], lambda k: contains(lower(coalesce(text, '')), k))) AS hits FROM documents")
 def keyword_risk(spark, sf_dir):
-    words = F.array(*[F.lit(w) for w in ("fraud", "lawsuit", "the", "probe", "recall", "downgrade")])
-    text = F.lower(F.coalesce("text", F.lit("")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(words, lambda k: F.contains(text, k))).cast("long").alias("hits"))
+    return table(spark, sf_dir, "documents").select("doc_id", events.negative_words("text").cast("long").alias("hits"))
+
+
+@query(f"""WITH a AS (SELECT source AS symbol, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 21 - 10) / 2.0 END AS tone, TIMESTAMP '2024-01-01' + to_hours(doc_id) AS seen, len(list_filter([{_WORDS}], lambda k: contains(lower(coalesce(text, '')), k))) > 0 AS bad FROM documents),
+s AS (SELECT symbol, count(*) AS articles, count(*) FILTER (bad) AS negative_articles, coalesce(avg(tone), 0) AS tone, max(seen) AS latest FROM a GROUP BY symbol),
+p AS (SELECT *, CAST(least(greatest(34 + articles * 2.2 + negative_articles * 8, 0), 100) AS DOUBLE) AS pressure_score FROM s)
+SELECT symbol, articles, negative_articles, round(tone, 6) AS tone, latest, pressure_score, round((pressure_score + least(greatest(50 - tone * 5 + negative_articles * 6, 0), 100)) / 2, 6) AS event_risk_score FROM p""")
+def event_risk(spark, sf_dir):
+    """Documents as articles on their source."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("symbol"), "text", F.when(k % 3 > 0, (k % 21 - 10) / 2).alias("tone"), F.timestamp_seconds(F.unix_timestamp(F.lit("2024-01-01 00:00:00")) + k * 3600).alias("seen_at"))
+    return rounded(events.event_risk(docs, "symbol", "text", "tone", "seen_at"))
