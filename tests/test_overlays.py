@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import random
 from statistics import NormalDist
 
 import pytest
@@ -216,3 +217,22 @@ def test_one_list_a_date(spark):
     assert [got[f"t{i}"] for i in range(5)] == pytest.approx([(x - level) / wide for x in filled]) and (got["s"], got["e"]) == (2.0, 0.0)
     for made in (panel.survivorship_cohorts(frame, "cap", "age", "observed"), panel.batch_normalized(frame, "cap", "z", 0.0, 1.0)):
         assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pooled_medians(spark):
+    """Against plain medians: dates without values, ties that a third of all rows share, two features, a late start."""
+    rng = random.Random(3)
+    rows = [(d, f"t{i}", None if d % 4 == 3 or d < 2 or rng.random() < 0.2 else (7.0 if rng.random() < 0.34 else rng.gauss(0, 50)), None if d < 11 else float(i)) for d in range(17) for i in range(40)]
+    rows += [(None, "n", None, 3.0)]
+    made = panel.imputed(spark.createDataFrame(rows, "date int, ticker string, x double, y double"), ["x", "y"])
+    upper = lambda v: sorted(v)[len(v) // 2] if v else None
+
+    def fill(d, k):
+        own = upper([r[k] for r in rows if r[0] == d and d is not None and r[k] is not None])
+        pool = [r[k] for r in rows if r[0] is not None and d is not None and r[0] <= d and r[k] is not None]
+        return own if own is not None else upper(pool) if pool else 0.0
+
+    want = {(r[0], r[1]): tuple(x for k in (2, 3) for x in ((r[k], False) if r[k] is not None else (fill(r[0], k), True))) for r in rows}
+    assert {(r["date"], r["ticker"]): (r["x"], r["x_imputed"], r["y"], r["y_imputed"]) for r in made.collect()} == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -130,21 +130,42 @@ def neutral_ranks(panel: DataFrame, values: list[str], least: int) -> DataFrame:
     return panel.withColumns(ranks)
 
 
+#: Buckets of a feature's values among which a pooled median is looked for first.
+BUCKETS = 256
+
+
 def imputed(panel: DataFrame, values: list[str]) -> DataFrame:
     """Missing values by their date's upper median, else by that of all values up to and including the date; 0 without any.
 
-    ``<value>_imputed`` tells which. The pool of earlier values is only ordered for dates that have none of their own.
+    ``<value>_imputed`` tells which. All values are told as rows once. Those earlier ones of dates that have none of their
+    own are counted by bucket and running over these dates, so that only the bucket that holds the median is ordered;
+    equal values are one row with a count. Rows without a date get 0.
     """
-    for v in values:
-        own = panel.groupBy("date").agg(upper_median(F.collect_list(v)).alias("own"))
-        empty = own.filter("own is null").select(F.col("date").alias("gap"))
-        pool = panel.filter(F.col(v).isNotNull()).join(empty, F.col("date") <= F.col("gap")).select("gap", v)
-        place = Window.partitionBy("gap").orderBy(v)
-        ranked = pool.withColumn("at", F.row_number().over(place) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gap")))
-        earlier = ranked.filter(F.col("at") == F.floor(F.col("n") / 2)).select(F.col("gap").alias("date"), F.col(v).alias("pooled"))
-        panel = panel.join(own, "date", "left").join(earlier, "date", "left")
-        panel = panel.withColumn(f"{v}_imputed", F.col(v).isNull()).withColumn(v, F.coalesce(v, "own", "pooled", F.lit(0.0))).drop("own", "pooled")
-    return panel
+    each = F.array(*[F.struct(F.lit(v).alias("feature"), F.col(v).cast("double").alias("x")) for v in values])
+    long = panel.filter("date is not null").select("date", F.explode(each).alias("f")).select("date", "f.*")
+    own = long.groupBy("feature", "date").agg(upper_median(F.collect_list("x")).alias("own"))
+    backwards = Window.partitionBy("feature").orderBy(F.desc("date"))
+    # the first date without values that a row's date comes up to; rows behind the last one are in no pool
+    entry = own.withColumn("gap", F.last(F.when(F.col("own").isNull(), F.col("date")), ignorenulls=True).over(backwards)).filter("gap is not null").select("feature", "date", "gap")
+    cells = long.filter("x is not null").join(entry, ["feature", "date"]).groupBy("feature", "gap", "x").agg(F.count(F.lit(1)).alias("n"))
+    edges = cells.groupBy("feature").agg(F.percentile_approx("x", [k / BUCKETS for k in range(1, BUCKETS)]).alias("edges"))
+    # a row a feature, and these are named in the call
+    cells = cells.join(F.broadcast(edges), "feature").withColumn("bucket", F.size(F.filter("edges", lambda e: e <= F.col("x")))).drop("edges")
+    counts = cells.groupBy("feature", "gap", "bucket").agg(F.sum("n").alias("n"))
+    grid = own.filter("own is null").select("feature", F.col("date").alias("gap"), F.explode(F.sequence(F.lit(0), F.lit(BUCKETS - 1))).alias("bucket"))
+    running = Window.partitionBy("feature", "bucket").orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
+    held = grid.join(counts, ["feature", "gap", "bucket"], "left").withColumn("held", F.coalesce(F.sum("n").over(running), F.lit(0)))
+    of_gap = Window.partitionBy("feature", "gap")
+    held = held.withColumns({"upto": F.sum("held").over(of_gap.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)), "place": F.floor(F.sum("held").over(of_gap) / 2)})
+    crosses = lambda upto, n, place: (F.col(upto) > F.col(place)) & (F.col(upto) - F.col(n) <= F.col(place))
+    chosen = held.filter(crosses("upto", "held", "place")).select("feature", "bucket", F.col("gap").alias("date"), (F.col("place") - F.col("upto") + F.col("held")).alias("rest"))
+    near = cells.join(chosen, ["feature", "bucket"]).filter(F.col("gap") <= F.col("date")).groupBy("feature", "date", "rest", "x").agg(F.sum("n").alias("n"))
+    near = near.withColumn("upto", F.sum("n").over(Window.partitionBy("feature", "date").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    pooled = near.filter(crosses("upto", "n", "rest")).select("feature", "date", F.col("x").alias("pooled"))
+    fills = own.join(pooled, ["feature", "date"], "left").groupBy("date").agg(*[F.max(F.when(F.col("feature") == v, F.coalesce("own", "pooled"))).alias(f"_fill_{v}") for v in values])
+    rows = panel.join(fills, "date", "left")
+    rows = rows.withColumns({f"{v}_imputed": F.col(v).isNull() for v in values})
+    return rows.withColumns({v: F.coalesce(v, f"_fill_{v}", F.lit(0.0)) for v in values}).drop(*[f"_fill_{v}" for v in values])
 
 
 def survivorship_cohorts(panel: DataFrame, cap: str, age: str, observed: str, young: float = 3.0) -> DataFrame:
