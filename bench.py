@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from tidewater.registry import QUERIES
 
-HEADLINE = ["daily_bars", "momentum_ic", "price_features", "forward_labels", "cross_section_z", "momentum_percentiles", "quintile_spread", "tail_risk", "asof_strict", "transition_matrix", "sector_weights", "volatility_models", "fund_features", "imputed_panel", "ranked_signals", "ml_verdicts", "option_strategies", "simulated_paths"]
+HEADLINE = ["daily_bars", "momentum_ic", "price_features", "forward_labels", "cross_section_z", "momentum_percentiles", "quintile_spread", "tail_risk", "asof_strict", "transition_matrix", "sector_weights", "volatility_models", "har_forecasts", "extreme_tails", "fund_features", "imputed_panel", "ranked_signals", "ml_verdicts", "option_strategies", "simulated_paths"]
 
 
 def main() -> None:

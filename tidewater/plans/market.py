@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as fx
-from ..operators import events, joins, models, panel, risk
+from ..operators import events, joins, panel, risk
 from ..sources.tables import bars, table
 
 QUERIES: dict = {}
@@ -145,13 +145,6 @@ def market_beta(spark, sf_dir):
     return rounded(risk.betas(rets, rets.groupBy("date").agg(F.avg("ret").alias("ret"))))
 
 
-@query()
-def volatility_models(spark, sf_dir):
-    rets = risk.simple_returns(bars(spark, sf_dir))
-    market = rets.groupBy("date").agg(F.avg("ret").alias("market"))
-    return models.volatility_models(rets.join(market, "date"))
-
-
 _ASOF = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey DESC) AS back FROM orders)
 SELECT l.o_orderkey, l.o_custkey, r.o_orderkey AS asof_orderkey, round(r.o_totalprice, 6) AS asof_totalprice
 FROM orders l ASOF LEFT JOIN (SELECT * FROM o WHERE back = 1) r ON l.o_custkey = r.o_custkey AND l.o_orderdate {} r.o_orderdate"""
