@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 import tiktoken
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tidewater.llm import byte_bpe, chat_format, exact_dedup, fingerprints, language_id, mixing, simhash, substring_dedup, token_files, toxicity
@@ -600,3 +601,13 @@ def test_reply_tree_branches(spark):
     df = spark.createDataFrame(nodes, "tree string, node bigint, parent bigint, role string, text string, score double")
     got = {(r["tree"], r["rank"]): [t["text"] for t in r["turns"]] for r in chat_format.read_back(chat_format.format_reply_trees(df, best=9)).collect()}
     assert got == {("t", 1): ["q", "good", "more"], ("t", 2): ["q", "good", "less"], ("t", 3): ["q", "bad"], ("u", 1): ["alone"]}
+
+
+def test_labels_of_other_documents_are_not_broadcast(spark):
+    """Labels without a document count neither in the sample's share nor in what is broadcast."""
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(1, 6)] + [(None, "x")], "doc_id bigint, text string")
+    labels = spark.range(50_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"), F.lit(1).alias("toxic"))
+    rows = toxicity.sampled(docs, labels, max_rows=100)
+    assert sorted(r["doc_id"] for r in rows.collect()) == [i for i in range(1, 6) if zlib.crc32(str(i).encode()) % 5]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan

@@ -272,11 +272,12 @@ def scored(df: DataFrame, model: dict, carried: list[str]) -> DataFrame:
 
 def sampled(docs: DataFrame, labels: DataFrame, folds: int = 5, held: int = 0, max_rows: int = MAX_FIT_ROWS, max_bytes: int = MAX_FIT_BYTES) -> DataFrame:
     """doc_id, text, toxic of the rows to learn from."""
-    known = labels.filter(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.filter(F.col("toxic").isNotNull() & (crc_fold(F.col("doc_id"), folds) != held)).join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))  # labels of other tables' documents are not broadcast
     sizes = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("size")).join(known, "doc_id").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes")).first()
     share = min(1.0, max_rows / max(1, sizes["rows"]), max_bytes / max(1, sizes["bytes"] or 0))
     known = known.filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # known is bounded by max_rows
+    return docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # each label has a row of the sample, so known is bounded by max_rows
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
