@@ -477,6 +477,80 @@ def test_repair():
             assert len(seq) + 2 * len(rules) < n
 
 
+def test_repair_cost_and_result(monkeypatch):
+    """The grammar of a plain version; pairs that don't fit into 64 bits with their place; pairs counted in all rounds."""
+
+    def plain(ids, least=token_files.LEAST_COUNT):
+        seq, rules = ids.tolist(), []
+        while True:
+            count = Counter(x for x in zip(seq[:-1], seq[1:], strict=True) if token_files.END not in x)
+            names = {x: token_files.FIRST_RULE + len(rules) + i for i, x in enumerate(sorted(x for x in count if count[x] >= least))}
+            if not names:
+                return seq, rules
+            rules += names
+            out, i = [], 0
+            while i < len(seq):
+                name = names.get(tuple(seq[i : i + 2]))
+                if name is None:
+                    out.append(seq[i])
+                    i += 1
+                    continue
+                # of frequent pairs that overlap in a row every second one, so the next place is not looked at
+                out.append(name)
+                i += 2
+            seq = out
+
+    rng = np.random.default_rng(3)
+    words = rng.permutation(40_000)
+    for n, most in ((0, 2), (1, 2), (2, 2), (4000, 2), (4000, 9), (6000, 400), (9000, 40_000)):
+        ids = words[np.minimum(rng.zipf(1.3, n), most) - 1].astype(np.uint32)
+        seq, rules = token_files.repair(ids)
+        want, named = plain(ids)
+        assert (seq.tolist(), list(map(tuple, rules.tolist()))) == (want, named)
+        lengths = token_files.bounds(token_files.rule_lengths(rules).astype(np.int64))
+        whole = token_files.expanded(np.arange(len(rules), dtype=np.uint32) + token_files.FIRST_RULE, rules)
+        assert (token_files.unrolled(seq, whole, lengths) == ids).all()
+    one, two = (rng.integers(0, 3, 500).astype(np.uint32) * np.uint32(2**31 - 1) for _ in "ab")
+    at, begin = token_files.by_pair(one, two, np.arange(500))
+    told = [(one[x[0]], two[x[0]], sorted(x.tolist())) for x in np.split(at, begin[1:])]
+    assert told == [(a, b, np.flatnonzero((one == a) & (two == b)).tolist()) for a, b in sorted(set(zip(one, two, strict=True)))]
+
+    sizes = rng.integers(1, 7, 50_000)
+    pieces = rng.integers(2, 40_000, sizes.sum()).astype(np.uint32)
+    ids, _ = token_files.taken(pieces, token_files.bounds(sizes), (50_000 ** rng.random(60_000)).astype(int) - 1)
+    counted, by_pair = [], token_files.by_pair
+    monkeypatch.setattr(token_files, "by_pair", lambda one, two, at: counted.append(len(at)) or by_pair(one, two, at))
+    seq, rules = token_files.repair(ids)
+    assert (token_files.expanded(seq, rules) == ids).all()
+    assert len(counted) > 3 and sum(counted) < 2 * len(ids)  # whole sequences, as counted before, come to over 3 times the ids
+
+
+def test_vocabulary_keeps_frequent_words(monkeypatch):
+    """A full vocabulary drops the words met last; those met first are not encoded again."""
+    monkeypatch.setattr(token_files, "KEPT_WORDS", 60)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    full, found = Tokenizer.from_file(path), token_files.Vocabulary(path)
+    rng = random.Random(5)
+    common = ["garden", "l'été", "don't", "straße", "h\xf4tel,", "42nd"]
+    met, sizes = Counter(), []
+    learn = found._learn
+
+    def watched():
+        met.update(list(found.places)[len(found.starts) - 1 :])
+        learn()
+
+    monkeypatch.setattr(found, "_learn", watched)
+    for i in range(12):
+        rare = ["".join(rng.choice("abcdefgé") for _ in range(9)) for _ in range(25)]
+        texts = [" ".join(common), f"  {' '.join(rare)}\n", "", " \t", "".join(rare) * 40 if i == 7 else "İx"]
+        for t, ids in zip(texts, found.encode(pa.array(texts)), strict=True):
+            assert ids.tolist() == full.encode(t, add_special_tokens=False).ids, t
+        sizes.append(len(found.places))
+    assert max(sizes) < 100 and min(np.diff(sizes)) < 0  # it was full more than once
+    assert met["garden"] == met["straße"] == met["été"] == 1
+    assert found.encode(pa.array([], pa.string())) == []
+
+
 def test_read_document(monkeypatch):
     """Random access to whole documents and parts of them, over several frames and with the end id inside texts."""
     monkeypatch.setattr(token_files, "FRAME", 4096)

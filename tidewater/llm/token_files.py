@@ -26,7 +26,7 @@ import zlib
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +36,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer, pre_tokenizers
+from tokenizers import Tokenizer
 
 from .common import new_path
 
@@ -50,15 +50,17 @@ LEAST_COUNT = 4
 FRAME = 1 << 16
 #: Words whose ids a Python worker keeps, and bytes of text that it encodes at once.
 KEPT_WORDS, GROUP_BYTES = 400_000, 8 << 20
-#: The mark at the end of the last piece of a word.
-WORD_END = "</w>"
+#: The signs that byte-level tokenizers write for bytes: printable ones stand for themselves, the others follow from 256 on.
+_OTHER = np.array([b not in (*range(33, 127), *range(161, 173), *range(174, 256)) for b in range(256)])
+_SIGNS = np.where(_OTHER, 255 + np.cumsum(_OTHER), np.arange(256)).astype("<u4")
 
 SHARD = "part int, seq int, n_ids bigint, doc_ids binary, nulls binary, sizes binary, rules binary, lengths binary, begins binary, frames binary, sequence binary"
 
 #: Texts of these code points only are cut into words here: lower-casing and composing them leaves no choice.
 _PLAIN = re.compile(r"[\t-\r -~\xa1-\xffŒœ‐-―‘-‟…€]*")
 _L, _N = r"a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xffŒœ", r"0-9\xb2\xb3\xb9\xbc-\xbe"
-_PARTS = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\t-\r {_L}{_N}]+")
+#: Words, and the line feeds that part chunks.
+_PARTS = re.compile(rf"[{_L}]+|'(?:[stmd]|re|ve|ll)|[{_N}]|[^\t-\r {_L}{_N}]+|\n")
 _SPECIAL = re.compile(r"<\|(?:startoftext|endoftext)\|>")
 
 
@@ -73,63 +75,70 @@ def bounds(sizes: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(sizes)])
 
 
+def taken(values: np.ndarray, cuts: np.ndarray, places: np.ndarray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values, of which cuts has the bounds, one after the other as places name them; and their bounds."""
+    runs = pa.LargeListArray.from_arrays(pa.array(cuts, pa.int64()), pa.array(values)).take(pa.array(places))
+    return runs.flatten().to_numpy(), runs.offsets.to_numpy()
+
+
 class Vocabulary:
     """Ids of words, each word encoded when it is first met.
 
     No word reaches over white space, so the ids of a plain text are those of its chunks (what white space
-    parts) in a row, and a chunk's ids those of its words. A group's distinct chunks are cut into words once.
+    parts) in a row, and a chunk's ids those of its words. A group's distinct chunks are cut into words once,
+    all in one string of lines; a line feed is word 0, which has no ids.
     """
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
         # the same merges for words that are cut and in lower case already
-        self.words = Tokenizer(self.full.model)
-        self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.CharDelimiterSplit("\n"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.ends = np.zeros(self.full.get_vocab_size(), bool)
-        self.ends[[i for piece, i in self.full.get_vocab().items() if piece.endswith(WORD_END)]] = True
-        self.forget()
+        self.pieces = self.full.model.tokenize
+        self.begin()
 
-    def forget(self) -> None:
-        self.places: defaultdict[str, int] = defaultdict()
+    def begin(self) -> None:
+        self.places: defaultdict[str, int] = defaultdict(None, {"\n": 0})
         self.places.default_factory = self.places.__len__  # a new word gets the next number
-        self.ids, self.starts = array("I"), array("q", [0])
+        self.ids, self.starts = array("I"), array("q", [0, 0])
+
+    def forget(self) -> None:
+        """Drop the words met last: those met first are mostly the frequent ones. If these take much room, drop all."""
+        keep = min(len(self.places), KEPT_WORDS // 2)
+        if self.starts[keep] > 4 * KEPT_WORDS:
+            return self.begin()
+        while len(self.places) > keep:
+            self.places.popitem()
+        del self.ids[self.starts[keep] :], self.starts[keep + 1 :]
 
     def _learn(self) -> None:
         """Encode the words that have a number but no ids yet."""
         new = list(islice(reversed(self.places), len(self.places) - len(self.starts) + 1))[::-1]
         for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            told = np.array(self.words.encode_batch_fast(["\n".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[told]) + 1
-            if len(ends) != len(some):
-                raise ValueError("the tokenizer's pieces do not mark the ends of words")
+            coded = np.frombuffer("\n".join(new[at : at + 4096]).encode(), np.uint8)
+            told = list(map(self.pieces, _SIGNS[coded].tobytes().decode("utf-32-le").split(chr(_SIGNS[10]))))
+            ends = np.cumsum(np.fromiter(map(len, told), np.int64, len(told)))
             self.starts.frombytes((len(self.ids) + ends).tobytes())
-            self.ids.frombytes(told.tobytes())
+            self.ids.extend([piece.id for word in told for piece in word])
 
-    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of chunks in a row, and the bounds of each."""
+    def _chunks(self, lines: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, a line each, in a row, and the bounds of each."""
         if len(self.places) > KEPT_WORDS or len(self.ids) > 8 * KEPT_WORDS:
             self.forget()
-        cut = list(map(_PARTS.findall, chunks))
-        at = np.fromiter(map(self.places.__getitem__, chain.from_iterable(cut)), np.int64)
+        cut = _PARTS.findall(lines)
+        at = np.fromiter(map(self.places.__getitem__, cut), np.int64, len(cut))
         if len(self.places) >= len(self.starts):
             self._learn()
-        starts = np.frombuffer(self.starts, np.int64)
-        sizes = starts[at + 1] - starts[at]
-        ids = np.frombuffer(self.ids, np.uint32)[ranges(starts[at], sizes)]
-        return ids, bounds(sizes)[bounds(np.fromiter(map(len, cut), np.int64, len(cut)))]
+        ids, cuts = taken(np.frombuffer(self.ids, np.uint32), np.frombuffer(self.starts, np.int64), at)
+        return ids, np.concatenate([[0], cuts[np.flatnonzero(at == 0)], [len(ids)]])
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         told = texts.to_pylist()
         plain = [not _SPECIAL.search(t) and bool(_PLAIN.fullmatch(t)) for t in told]
         chunks = pc.ascii_split_whitespace(pc.utf8_lower(pc.if_else(pa.array(plain, pa.bool_()), texts, "")))
         distinct = chunks.flatten().dictionary_encode()
-        ids, at = self._chunks(distinct.dictionary.to_pylist())
-        code = distinct.indices.to_numpy()
-        sizes = np.diff(at)[code]
-        flat = ids[ranges(at[code], sizes)]
+        ids, at = self._chunks(pc.binary_join(pa.ListArray.from_arrays([0, len(distinct.dictionary)], distinct.dictionary), "\n")[0].as_py())
+        flat, cuts = taken(ids, at, distinct.indices)
         offsets = chunks.offsets.to_numpy()
-        cuts = bounds(sizes)[offsets - offsets[0]].tolist()
+        cuts = cuts[offsets - offsets[0]].tolist()
         return [flat[a:b] if p else np.array(self.full.encode(t, add_special_tokens=False).ids, np.uint32) for t, p, a, b in zip(told, plain, cuts[:-1], cuts[1:], strict=True)]
 
 
@@ -151,33 +160,59 @@ def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
             begin, size = i, 0
 
 
+def by_pair(one: np.ndarray, two: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of their pairs, and where each pair begins among them."""
+    a, b = one[at].astype(np.uint64), two[at].astype(np.uint64)
+    place, wide = len(one).bit_length(), int(max(one.max(), two.max())).bit_length()
+    if place + 2 * wide <= 64:  # pair and place fit into one number; numbers alone sort several times faster than places by their keys
+        a <<= np.uint64(wide + place)
+        b <<= np.uint64(place)
+        a |= b
+        a |= at.view(np.uint64)
+        a.sort()
+        at, pairs = (a & np.uint64((1 << place) - 1)).view(np.int64), a >> np.uint64(place)
+    else:
+        pairs = a << np.uint64(32) | b
+        order = np.argsort(pairs)
+        at, pairs = at[order], pairs[order]
+    return at, np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+
+
 def repair(ids: np.ndarray, least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """The compressed sequence and the rules (pairs), in the order they were made; no pair is left ``least`` times."""
+    """The compressed sequence and the rules (pairs), in the order they were made; no pair is left ``least`` times.
+
+    A round leaves no place of a frequent pair: it is replaced, or its first symbol was the second of a pair
+    that is. Pairs without a symbol of the last round were counted in it or earlier, and are not more by now,
+    so later rounds count only pairs with such a symbol.
+    """
     seq, rules = ids.astype(np.uint32), [np.empty((0, 2), np.uint32)]
-    made = 0
+    symbol = np.empty(len(seq), np.uint32)
+    made = fresh = 0
     while len(seq) > 1:
         one, two = seq[:-1], seq[1:]
-        # pairs counted by slots first: what shares a slot counts together, so no frequent pair is missed
-        slot = ((one * np.uint32(0x9E3779B1)) ^ (two * np.uint32(0x85EBCA6B))) >> np.uint32(12)
-        inner = (one != END) & (two != END)
-        at = np.flatnonzero(inner & (np.bincount(slot[inner], minlength=1 << 20)[slot] >= least))
-        pairs, which, count = np.unique(one[at].astype(np.uint64) << np.uint64(32) | two[at], return_inverse=True, return_counts=True)
-        frequent = count >= least
-        if not frequent.any():
+        new = seq >= fresh
+        at = np.flatnonzero(new[:-1] | new[1:]) if fresh else np.arange(len(one))
+        at = at[(one[at] != END) & (two[at] != END)]
+        if not len(at):
             break
-        rule = FIRST_RULE + made - 1 + np.cumsum(frequent)
-        use = frequent[which]
-        at, symbol = at[use], rule[which[use]]
+        at, begin = by_pair(one, two, at)
+        count = np.diff(begin, append=len(at))
+        begin, count = begin[count >= least], count[count >= least]
+        if not len(begin):
+            break
+        rules.append(np.stack([one[at[begin]], two[at[begin]]], 1))
+        fresh = FIRST_RULE + made
+        made += len(begin)
+        at = at[ranges(begin, count)]
+        symbol[at] = np.repeat(np.arange(fresh, fresh + len(begin), dtype=np.uint32), count)
+        at = np.sort(at)
         # of pairs that overlap in a row, every second one from the first on
         new = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        use = ((np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) & 1) == 0
-        seq = seq.copy()
-        seq[at[use]] = symbol[use]
+        at = at[((np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]) & 1) == 0]
+        seq[at] = symbol[at]
         stay = np.ones(len(seq), bool)
-        stay[at[use] + 1] = False
+        stay[at + 1] = False
         seq = seq[stay]
-        rules.append(np.stack([pairs[frequent] >> np.uint64(32), pairs[frequent] & np.uint64(0xFFFFFFFF)], 1).astype(np.uint32))
-        made += int(frequent.sum())
     return seq, np.concatenate(rules)
 
 
@@ -201,6 +236,17 @@ def expanded(seq: np.ndarray, rules: np.ndarray) -> np.ndarray:
     return seq
 
 
+def unrolled(seq: np.ndarray, whole: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The ids that a part of a sequence stands for, from all rules' expansions in a row and the bounds of each."""
+    deep = seq >= FIRST_RULE
+    of = seq[deep] - FIRST_RULE
+    sizes = np.ones(len(seq), np.int64)
+    sizes[deep] = places[of + 1] - places[of]
+    out = np.repeat(seq, sizes)
+    out[np.repeat(deep, sizes)] = whole[ranges(places[of], sizes[deep])]
+    return out
+
+
 def pressed(seq: np.ndarray) -> tuple[bytes, bytes]:
     """A sequence in frames: the byte offsets of the frames (one more than there are), and the frames."""
     press = zstandard.ZstdCompressor(level=1)
@@ -285,13 +331,14 @@ def read_tokens(spark: SparkSession, out: str, with_ids: bool = True) -> DataFra
         for batch in batches:
             for s in batch.to_pylist():
                 rules = np.frombuffer(s["rules"], np.uint32).reshape(-1, 2)
+                whole, places = expanded(np.arange(FIRST_RULE, FIRST_RULE + len(rules), dtype=np.uint32), rules), bounds(np.frombuffer(s["lengths"], np.uint32).astype(np.int64))
                 begins, sizes = np.frombuffer(s["begins"], np.int64), np.frombuffer(s["sizes"], np.int64)
                 starts = np.cumsum(sizes) - sizes
                 n, seq = len(sizes), symbols(s, 0, int(begins[-1]))
                 keys = [None if null else k for k, null in zip(np.frombuffer(s["doc_ids"], np.int64).tolist(), s["nulls"], strict=True)]
                 for lo in range(0, n, 1024):
                     hi = min(n, lo + 1024)
-                    flat = expanded(seq[begins[lo] : begins[hi]], rules).astype("<u4").tobytes()
+                    flat = unrolled(seq[begins[lo] : begins[hi]], whole, places).astype("<u4").tobytes()
                     first = starts[lo]
                     ids = [flat[4 * (a - first) : 4 * (a - first + k)] for a, k in zip(starts[lo:hi].tolist(), sizes[lo:hi].tolist(), strict=True)]
                     m = hi - lo
