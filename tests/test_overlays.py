@@ -8,6 +8,8 @@ from statistics import NormalDist
 import pytest
 from pyspark.sql import functions as F
 
+from tests.oracle import difference
+from tidewater import registry
 from tidewater.operators import events, groups, panel, paths, strategies
 from tidewater.sources import archive, brokers
 from tidewater.streaming import labels, logs
@@ -219,6 +221,30 @@ def test_one_list_a_date(spark):
         assert "NestedLoop" not in made._jdf.queryExecution().executedPlan().toString()
 
 
+def test_cohort_cut_is_a_cap_of_its_date(spark):
+    """Caps whose last digits differ each time they are told, as sums of doubles do; with and without missing caps in the count."""
+    told_anew = F.udf(lambda x: x * (1 + random.SystemRandom().randrange(64) * 2.0**-52), "double").asNondeterministic()
+    rows = [(d, f"t{i:02}", None if i > 11 else 1.0 + i, 9.0, True) for d in range(30) for i in range(15)]
+    frame = spark.createDataFrame(rows, "date int, ticker string, cap double, age double, observed boolean")
+    frame = frame.repartition(3, "ticker").withColumn("cap", F.when(F.col("cap").isNotNull(), told_anew(F.coalesce("cap", F.lit(1.0)))))
+    for counted, n in ((None, 3), ("observed", 4)):
+        got = panel.survivorship_cohorts(frame, "cap", "age", "observed", counted=counted).filter("cohort = 'survivorPrivileged'").collect()
+        assert sorted((r["date"], r["ticker"]) for r in got) == [(d, f"t{i:02}") for d in range(30) for i in range(n)]
+
+
+def test_cohorts_of_odd_trades(spark, tmp_path):
+    """The query against its SQL: no ship date, no brand, no price in a whole bar or in a part of it."""
+    rng, start, trades = random.Random(5), dt.datetime(1993, 1, 1), []
+    for part in range(40):
+        for day in (0, *range(1500, 1540)):
+            for k in range(2):
+                price = None if rng.random() < 0.4 else round(rng.uniform(900, 9000), 2)
+                trades.append((part, float(rng.randint(1, 50)), price, None if day and rng.random() < 0.03 else start + dt.timedelta(days=day)))
+    spark.createDataFrame(trades, "l_partkey long, l_quantity double, l_extendedprice double, l_shipdate timestamp_ntz").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k, f"Brand#{k}" if k else None) for k in range(40)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    assert difference(registry.QUERIES["survivorship_cohorts"](spark, str(tmp_path)), str(tmp_path), registry.ORACLE_SQL["survivorship_cohorts"]) == ""
+
+
 def test_pooled_medians(spark):
     """Against plain medians: dates without values, ties that a third of all rows share, two features, a late start."""
     rng = random.Random(3)

@@ -168,13 +168,20 @@ def imputed(panel: DataFrame, values: list[str]) -> DataFrame:
     return rows.withColumns({v: F.coalesce(v, f"_fill_{v}", F.lit(0.0)) for v in values}).drop(*[f"_fill_{v}" for v in values])
 
 
-def survivorship_cohorts(panel: DataFrame, cap: str, age: str, observed: str, young: float = 3.0) -> DataFrame:
-    """cohort: noFundamentals, survivorPrivileged (young, or in the date's lowest fifth of observed caps), core."""
-    caps = F.array_sort(F.collect_list(F.when(F.col(observed), F.col(cap))))
-    cuts = panel.groupBy("date").agg(caps.alias("caps")).select("date", F.when(F.size("caps") >= 10, F.get("caps", F.floor(F.size("caps") * 0.2).cast("int"))).alias("cut"))
-    small = F.coalesce(F.col(observed) & (F.col(cap) <= F.col("cut")), F.lit(False))
-    rows = panel.join(cuts, panel["date"].eqNullSafe(cuts["date"]), "left").drop(cuts["date"])
-    return rows.withColumn("cohort", F.when(~F.col(observed), "noFundamentals").when((F.col(age) < young) | small, "survivorPrivileged").otherwise("core")).drop("cut")
+def survivorship_cohorts(panel: DataFrame, cap: str, age: str, observed: str, young: float = 3.0, counted: str | None = None) -> DataFrame:
+    """cohort: noFundamentals, survivorPrivileged (young, or in the date's lowest fifth of observed caps), core.
+
+    The fifth is of the observed names with a cap, or of those that ``counted`` tells, where a missing cap stands last. A cut
+    is the cap of one of the rows held against it: read from the panel twice, a cap summed in another order is not the same.
+    """
+    rows = panel.withColumn("_counted", F.coalesce(F.col(counted) if counted else F.col(observed) & F.col(cap).isNotNull(), F.lit(False)))
+    place = F.row_number().over(by_date().orderBy(F.desc("_counted"), F.asc_nulls_last(cap)))
+    rows = rows.withColumns({"_place": place, "_n": F.count_if("_counted").over(by_date())})
+    at_cut = F.col("_counted") & (F.col("_n") >= 10) & (F.col("_place") == F.floor(F.col("_n") * 0.2) + 1)
+    rows = rows.withColumn("_cut", F.max(F.when(at_cut, F.col(cap))).over(by_date()))
+    small = F.coalesce(F.col(cap) <= F.col("_cut"), F.lit(False))
+    cohort = F.when(~F.col(observed), "noFundamentals").when((F.col(age) < young) | small, "survivorPrivileged").otherwise("core")
+    return rows.withColumn("cohort", cohort).drop("_counted", "_place", "_n", "_cut")
 
 
 def ordinal_correlations(panel: DataFrame, score: str, label: str, least: int = 5) -> DataFrame:
